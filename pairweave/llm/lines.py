@@ -63,7 +63,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 SQL = r"""
 WITH own AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS lines,
-         list_transform(string_split(text, chr(10)), x -> trim(x, ' ' || chr(9) || chr(13))) AS trimmed
+         list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))) AS trimmed
   FROM documents),
 each AS (
   SELECT doc_id, i AS pos, trimmed[i + 1] || chr(10) || trimmed[i + 2] || chr(10) || trimmed[i + 3] AS w
