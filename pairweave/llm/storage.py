@@ -2,21 +2,43 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, as in local tests, a new temporary one."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, as in local tests, a temporary one."""
     sc = spark.sparkContext
     own = sc._jsc.sc().getCheckpointDir()
     if own.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        own = sc._jsc.sc().getCheckpointDir()
+    return own.get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the shared folder, where a lost executor does not lose it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cut(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """``df``, written once as a table in the shared folder, where a lost executor does not lose it.
+
+    ``paths`` gathers what the caller removes when it is done; else it goes when the session ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
+    else:
+        atexit.register(_try_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _try_remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        remove(spark, path)
