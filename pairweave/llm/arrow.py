@@ -62,7 +62,7 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], dict], schema: s
             if batch.num_rows:
                 yield pa.RecordBatch.from_pydict(each(batch))
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)
 
 
 def ids_and_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,8 +30,8 @@ def _hash_pair(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The columns of ``docs`` with the text's later lines removed, and n_lines and n_removed."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """The columns of ``docs`` with the text's later lines removed, and two counts: lines, and lines removed."""
     names = docs.columns
     fresh = lambda x: next(n for n in (x + "_" * i for i in range(99)) if n.lower() not in {c.lower() for c in names})
     doc, body, gone = fresh("k_doc"), fresh("k_text"), fresh("k_gone")
@@ -49,14 +49,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     later = hashed.join(repeated, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
     remove = later.groupBy("doc", "body").agg(F.collect_set("at").alias(gone)).select(F.col("doc").cast("string").alias("doc"), "body", gone)
 
-    both = keyed.join(remove, F.col(doc).eqNullSafe(F.col("doc")) & (F.col(body) == F.col("body")), "left").drop("doc", "body") if not {"doc", "body"} & set(names) else keyed.join(remove.withColumnsRenamed({"doc": doc + "r", "body": body + "r"}), F.col(doc).eqNullSafe(F.col(doc + "r")) & (F.col(body) == F.col(body + "r")), "left").drop(doc + "r", body + "r")
+    right = remove.withColumnsRenamed({"doc": doc + "r", "body": body + "r"})
+    both = keyed.join(right, F.col(doc).eqNullSafe(F.col(doc + "r")) & (F.col(body) == F.col(body + "r")), "left").drop(doc + "r", body + "r")
     starts = F.array_sort(F.col(gone))
     covered = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (window - 1)))))
     all_lines = F.size(lines)
     kept = F.array_except(F.sequence(F.lit(0), all_lines - 1), covered)
     text = F.when(F.col(gone).isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     removed = F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(covered))
-    out = both.withColumns({"n_lines": F.coalesce(all_lines, F.lit(0)).cast("long"), "n_removed": removed.cast("long")})
+    out = both.withColumns({counts[0]: F.coalesce(all_lines, F.lit(0)).cast("long"), counts[1]: removed.cast("long")})
     return out.withColumn(text_col, text).drop(doc, body, gone)
 
 
