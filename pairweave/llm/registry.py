@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, lines, media, near_dup, secrets
+from . import bpe, decontaminate, language, lines, media, near_dup, packing, secrets, url_lists
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -38,6 +38,14 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents"))
 
 
+def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lists.query(table(spark, sf_dir, "pages"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -55,7 +63,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_near_dup": op5_near_dup,
+    "op7_url_lists": op7_url_lists,
+    "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
 }
-SQL: dict[str, str] = {"op9_line_dedup": lines.SQL}
+SQL: dict[str, str] = {"op7_url_lists": url_lists.SQL, "op9_line_dedup": lines.SQL}
