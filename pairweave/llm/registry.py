@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, lines, media, near_dup, packing, secrets, url_lists
+from . import bpe, decontaminate, html_text, language, lines, media, near_dup, packing, secrets, url_lists
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -38,6 +38,10 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.query(table(spark, sf_dir, "pages"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_near_dup": op5_near_dup,
+    "op6_html_text": op6_html_text,
     "op7_url_lists": op7_url_lists,
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
