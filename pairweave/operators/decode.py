@@ -144,8 +144,9 @@ def decode_by_component(shots: DataFrame, edges: DataFrame, component_of: DataFr
     added up.  Boundary nodes must have been collapsed, and weights must be
     non-negative; ``norm`` is the whole graph's.
     """
-    own = edges.join(component_of.withColumnRenamed("node", "node1"), "node1").select("comp", "node1", "node2", "weight", "fault_ids")
-    hit = shots.select(key, F.explode("hits").alias("node")).join(component_of, "node").groupBy("comp", key).agg(F.sort_array(F.collect_list("node")).alias("hits"))
+    place = component_of.select(F.col("node").alias("at"), F.col("comp").alias("part"))
+    own = edges.join(place, F.col("node1") == F.col("at")).select(F.col("part").alias("comp"), "node1", "node2", "weight", "fault_ids")
+    hit = shots.select(key, F.explode("hits").alias("node")).join(component_of.select("node", F.col("comp").alias("component")), "node").groupBy("component", key).agg(F.sort_array(F.collect_list("node")).alias("hits"))
     kind = shots.schema[key].dataType.simpleString()
 
     def solve(left, right):
@@ -157,7 +158,7 @@ def decode_by_component(shots: DataFrame, edges: DataFrame, component_of: DataFr
         out = [(h[key], *own.decode([place[x] for x in h["hits"]])) for h in hits]
         return pa.table({key: pa.array([x[0] for x in out]), "mask": pa.array([x[1] for x in out], pa.int64()), "weight_int": pa.array([x[2] for x in out], pa.int64())})
 
-    parts = own.groupBy("comp").cogroup(hit.groupBy("comp")).applyInArrow(solve, f"{key} {kind}, mask long, weight_int long")
+    parts = own.groupBy("comp").cogroup(hit.groupBy("component")).applyInArrow(solve, f"{key} {kind}, mask long, weight_int long")
     total = parts.groupBy(key).agg(F.bit_xor("mask").alias("mask"), F.sum("weight_int").alias("weight_int"))
     return shots.select(key).join(total, key, "left").select(key, F.coalesce("mask", F.lit(0).cast("long")).alias("mask"), F.coalesce("weight_int", F.lit(0).cast("long")).alias("weight_int"))
 
@@ -187,9 +188,10 @@ def small_shots(shots: DataFrame, distance: DataFrame, away: DataFrame, key: str
     size = F.when(F.size("hits") > most_hits, F.raise_error(F.lit(f"a shot has more than {most_hits} hits")).cast("int")).otherwise(F.size("hits"))
     state = shots.select(key, (F.call_function("shiftleft", F.lit(1), size) - 1).alias("open"), F.lit(0).cast("long").alias("total"))
     for _ in range(most_hits):
-        low = F.col("open").bitwiseAND(-F.col("open"))
-        done = state.filter("open = 0")
-        lowest = state.filter("open <> 0").withColumn("i", F.round(F.log2(low)).cast("int"))
-        step = lowest.join(moves, [key, "i"]).filter(F.col("open").bitwiseAND(F.col("takes")) == F.col("takes")).select(key, F.col("open").bitwiseXOR(F.col("takes")).alias("open"), (F.col("total") + F.col("cost")).alias("total"))
-        state = done.unionByName(step).groupBy(key, "open").agg(F.min("total").alias("total"))
+        # done states (no lowest hit) and stuck ones find no move and stay
+        low = F.when(F.col("open") != 0, F.round(F.log2(F.col("open").bitwiseAND(-F.col("open")))).cast("int"))
+        at = state.select(F.col(key).alias("k"), "open", "total", low.alias("low"))
+        step = at.join(moves, (F.col("k") == F.col(key)) & (F.col("low") == F.col("i")) & (F.col("open").bitwiseAND(F.col("takes")) == F.col("takes")), "left")
+        left = F.col("open").bitwiseXOR(F.coalesce("takes", F.lit(0)))
+        state = step.select(F.col("k").alias(key), left.alias("open"), (F.col("total") + F.coalesce("cost", F.lit(0))).alias("total")).groupBy(key, "open").agg(F.min("total").alias("total"))
     return shots.select(key).join(state.filter("open = 0").select(key, F.col("total").alias("weight")), key, "left")
