@@ -381,7 +381,7 @@ class Matching:
         low, high = ((self.num_detectors + 7) // 8, (self.num_nodes + 7) // 8) if bit_packed_shots else (self.num_detectors, self.num_nodes)
         if not low <= shots.shape[1] <= high:
             raise ValueError(f"shots need from {low} to {high} columns, not {shots.shape[1]}")
-        bits = np.unpackbits(shots.astype(np.uint8), axis=1, bitorder="little")[:, : max(self.num_nodes, 0)] if bit_packed_shots else shots
+        bits = np.unpackbits(shots.astype(np.uint8), axis=1, bitorder="little") if bit_packed_shots else shots
         solve = own.decode_correlated if enable_correlations else own.decode
         found = [solve(np.flatnonzero(row).tolist()) for row in bits]
         out = np.array([self._bits(m) for m, _ in found], np.uint8).reshape(len(found), self.num_fault_ids)
