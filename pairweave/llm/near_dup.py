@@ -12,13 +12,16 @@ band are candidates, and candidates of a weighted Jaccard similarity of 0.8 or
 more, computed from the whole texts, are linked; classes are the connected
 components of links.
 
-Texts of equal words are one node from the start, however many they are.  Within
-a band's bucket the pairs aren't listed: in each round a few pivots a bucket are
-compared with the members that aren't in their component yet.  First the
-bucket's least member is the pivot, then a few by hash, then all that are
-outside the bucket's largest component, until every pair of two components has
-been compared.  So rounds are linear in a bucket, and no link that would join
-two components is left out.
+Texts of equal words are one node from the start, however many they are.  A
+candidate more than a fifth of whose weight is in shingles that no other
+candidate has can't reach 0.8 with any and leaves before texts are compared.
+Within a band's bucket the pairs aren't listed: in each round some pivots a
+bucket are compared with the members of about their weight that aren't in their
+component yet.  First the member with the least weight of its own is the pivot,
+then a few more, then all that are outside the bucket's largest component, more
+in each round, until every pair of two components has been compared.  So a round
+is linear in a bucket, there are as many rounds as the logarithm of the members
+left alone, and no link that would join two components is left out.
 
 Each document (null doc_id: class null) gets class_id, the least doc_id of its
 class.  A text without words, null or empty, is a class of its own.  Rows of
@@ -33,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrow import bounded_batches, ids_and_bytes, row_groups, views
@@ -222,42 +226,40 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     contents = cut(with_words.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), paths)
 
     keyed = contents.select("node", F.explode("bands").alias("key")).distinct()
-    shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = cut(keyed.join(shared.select("key", "least"), "key"), paths)
-    involved = members.select("node").distinct()
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    met = cut(keyed.join(shared, "key"), paths)
+    involved = met.select("node").distinct()
     texts = cut(own.join(involved, own.doc_id == involved.node).select("node", "text"), paths)
-
+    able = cut(_able(texts, idf, threshold), paths)
+    members = met.join(able, "node")
+    first = members.groupBy("key").agg(F.min(F.struct("lone", "node")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = cut(members.join(first.select("key", F.col("least.node").alias("least")), "key"), paths)
+
+    near = lambda a, b: F.col(a) >= threshold * F.col(b) - 1e-9
+    leaders = able.select(F.col("node").alias("least"), F.col("weight").alias("w"))
+    pairs = members.filter("node <> least").join(leaders, "least").filter(near("w", "weight") & near("weight", "w")).select(F.least("least", "node").alias("a"), F.greatest("least", "node").alias("b")).distinct()
     comp = contents.select("node", F.col("node").alias("comp")).limit(0)
-    tested = None
-    pairs = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    turn = 0
+    tested = pairs.limit(0)
     used = members.filter("node = least").select("key", "node")
+    turn = 0
     while True:
+        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"), paths)
         scored = cut(_similarities(pairs, texts, idf), paths)
-        tested = scored.select("a", "b") if tested is None else tested.unionByName(scored.select("a", "b"))
-        links = scored.filter(F.col("similarity") >= threshold)
-        # what is known is contracted first, so later rounds have few edges
-        old = comp
-        at = lambda side: F.coalesce(F.col(f"{side}_comp"), F.col(side))  # noqa: E731, B023
-        edges = links.join(old.select(F.col("node").alias("a"), F.col("comp").alias("a_comp")), "a", "left").join(old.select(F.col("node").alias("b"), F.col("comp").alias("b_comp")), "b", "left")
-        found = components(edges.select(at("a").alias("a"), at("b").alias("b")).filter("a <> b").distinct(), paths)
-        moved = old.join(found.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-        comp = cut(moved.unionByName(found.join(old, "node", "left_anti").select("node", "comp")), paths)
-
-        placed = members.select("key", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        tested = cut(tested.unionByName(pairs), paths)
+        comp = _joined(comp, scored.filter(F.col("similarity") >= threshold).select("a", "b"), paths)
+
+        placed = members.select("key", "node", "lone", "weight").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.count(F.lit(1)).alias("comps"))
         open_ = cut(placed.join(sizes.filter("comps > 1").select("key", "main"), "key"), paths)
         fresh = open_.join(used, ["key", "node"], "left_anti")
-        order = F.xxhash64("node", F.lit(turn))
-        fresh = fresh if turn == 0 else fresh.filter("comp <> main")
-        take = HUBS if turn == 0 else PIVOTS
-        pivots = cut(_few(fresh, order, take), paths)
+        take = HUBS if turn == 0 else PIVOTS << min(turn, 20)
+        pivots = cut(_few(fresh if turn == 0 else fresh.filter("comp <> main"), take), paths)
         if pivots.isEmpty():
             break
-        used = used.unionByName(pivots.select("key", "node"))
-        crossing = pivots.select("key", F.col("node").alias("p"), F.col("comp").alias("p_comp")).join(open_.select("key", "node", "comp"), "key").filter("comp <> p_comp")
+        used = cut(used.unionByName(pivots.select("key", "node")), paths)
+        ends = pivots.select("key", F.col("node").alias("p"), F.col("comp").alias("p_comp"), F.col("weight").alias("w"))
+        crossing = ends.join(open_, "key").filter((F.col("comp") != F.col("p_comp")) & near("w", "weight") & near("weight", "w"))
         pairs = crossing.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"), paths)
         turn += 1
 
     final = contents.select("c1", "c2", "node").join(comp, "node", "left").select("c1", "c2", F.coalesce("comp", "node").alias("class_id"))
@@ -269,9 +271,54 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     return out
 
 
-def _few(rows: DataFrame, order, take: int) -> DataFrame:
-    """key, node, comp of the least ``take`` rows a key by hash; taken within parts of a key first, so no key's rows meet in one task."""
-    by = F.struct(order.alias("h"), F.col("node"), F.col("comp"))
-    few = lambda c: F.slice(F.sort_array(F.collect_list(c)), 1, take)
-    part = rows.groupBy("key", F.pmod(F.xxhash64("node", F.lit("part")), F.lit(64)).alias("part")).agg(few(by).alias("few"))
-    return part.select("key", F.explode("few").alias("x")).groupBy("key").agg(few(F.col("x")).alias("few")).select("key", F.explode("few").alias("x")).select("key", "x.node", "x.comp")
+def _able(texts: DataFrame, idf: Broadcast, threshold: float) -> DataFrame:
+    """node, weight (its total) and lone (the share of it in shingles that no other text has), where lone leaves room for the threshold."""
+    bounded_batches(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, data = views(batch.column(1))
+            node = batch.column(0).to_numpy()
+            for i, j in row_groups(at):
+                of, shingle, tf, _, _ = features(data[at[i] : at[j]], at[i : j + 1])
+                weight = weights(shingle, tf, idf.value)
+                total = np.bincount(of, weight, j - i)
+                yield pa.RecordBatch.from_pydict({"shingle": pa.array(shingle.astype(np.int64)), "node": pa.array(node[i:j][of]), "share": pa.array(weight / total[of]), "weight": pa.array(total[of])})
+
+    rows = texts.select("node", "text").mapInArrow(run, "shingle long, node long, share double, weight double")
+    alone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.first("share").alias("share"))
+    lone = alone.filter("node = last").groupBy("node").agg(F.sum("share").alias("lone"))
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, data = views(batch.column(1))
+            parts = []
+            for i, j in row_groups(at):
+                of, shingle, tf, _, _ = features(data[at[i] : at[j]], at[i : j + 1])
+                parts.append(np.bincount(of, weights(shingle, tf, idf.value), j - i))
+            if parts:
+                yield pa.RecordBatch.from_pydict({"node": batch.column(0), "weight": pa.array(np.concatenate(parts))})
+
+    total = texts.select("node", "text").mapInArrow(sizes, "node long, weight double").groupBy("node").agg(F.max("weight").alias("weight"))
+    return total.join(lone, "node", "left").select("node", "weight", F.coalesce("lone", F.lit(0.0)).alias("lone")).filter(F.col("lone") <= 1 - threshold + 1e-9)
+
+
+def _joined(comp: DataFrame, links: DataFrame, paths: list[str]) -> DataFrame:
+    """``comp`` (node, comp) with the links (a, b) added; what is known is contracted first, so later rounds have few edges."""
+    at = lambda side: F.coalesce(F.col(f"{side}_comp"), F.col(side))
+    edges = links.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("a_comp")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("b_comp")), "b", "left")
+    edges = cut(edges.select(at("a").alias("a"), at("b").alias("b")).filter("a <> b").distinct(), paths)
+    if edges.isEmpty():
+        return comp
+    found = components(edges, paths)
+    moved = comp.join(found.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return cut(moved.unionByName(found.join(comp, "node", "left_anti").select("node", "comp")), paths)
+
+
+def _few(rows: DataFrame, take: int) -> DataFrame:
+    """key, node, comp and weight of the first ``take`` rows a key, those of the least weight of their own first.
+
+    The limit on the rank is applied within tasks before rows are shuffled.
+    """
+    order = W.partitionBy("key").orderBy("lone", F.xxhash64("node"), "node")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= take).select("key", "node", "comp", "weight")
