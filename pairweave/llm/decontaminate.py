@@ -234,3 +234,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 def digest(found: DataFrame) -> DataFrame:
     ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (
+  SELECT DISTINCT item_id, array_to_string(list_slice(w, i + 1, i + {WINDOW}), ' ') AS win, least(len(w), {WINDOW}) AS n
+  FROM b, unnest(range(0, greatest(1, len(w) - {WINDOW - 1}))) AS u(i) WHERE len(w) > 0),
+occurs AS (
+  SELECT doc_id, item_id, i, n FROM (
+    SELECT doc_id, n, i, array_to_string(list_slice(w, i + 1, i + n), ' ') AS win
+    FROM d, (SELECT DISTINCT n FROM win) AS lengths, unnest(range(0, len(w) - n + 1)) AS u(i)) JOIN win USING (win, n)),
+hit AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM occurs, unnest(range(0, n)) AS u(k) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM occurs) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+"""

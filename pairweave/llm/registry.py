@@ -73,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
 }
-SQL: dict[str, str] = {"op7_url_lists": url_lists.SQL, "op9_line_dedup": lines.SQL}
+SQL: dict[str, str] = {"op2_decontamination": decontaminate.SQL, "op7_url_lists": url_lists.SQL, "op9_line_dedup": lines.SQL}
