@@ -51,7 +51,7 @@ def q_decode_weight(spark, sf_dir):
     return decode(shots, fx.torus_graph(spark, sf_dir), ("weight",)).withColumn("weight", F.col("weight").cast("long"))
 
 
-@query("SELECT s.user_id, s.day, weight + (SELECT sum(weight) FROM signed_torus WHERE weight < 0) AS weight FROM solved s", fx.SQL_TORUS, fx.SQL_SHOTS,
+@query("SELECT s.user_id, s.day, CAST(weight + (SELECT sum(weight) FROM signed_torus WHERE weight < 0) AS BIGINT) AS weight FROM solved s", fx.SQL_TORUS, fx.SQL_SHOTS,
     """negative_ends AS (SELECT node FROM (SELECT node1 AS node FROM signed_torus WHERE weight < 0 UNION ALL SELECT node2 FROM signed_torus WHERE weight < 0 AND node2 IS NOT NULL) GROUP BY node HAVING count(*) % 2 = 1),
 mixed AS (SELECT user_id, day, unnest(hits) AS node FROM shots UNION ALL SELECT user_id, day, node FROM shots, negative_ends),
 open_hits AS (SELECT user_id, day, node FROM mixed GROUP BY ALL HAVING count(*) % 2 = 1),
@@ -348,8 +348,8 @@ def g_from_check_matrix(spark, sf_dir):
     return check_matrix.edges_from_coordinates(_coordinates(spark, sf_dir), 25).select("col", "node1", "node2", "fault_ids")
 
 
-@query("""SELECT CAST(t AS BIGINT) AS t, seq AS col, least(node1, coalesce(node2, node1)) + 25 * t AS node1, CASE WHEN node2 IS NULL THEN 75 ELSE greatest(node1, node2) + 25 * t END AS node2, 1.0 AS weight FROM torus, range(0, 3) AS r(t)
-UNION ALL SELECT t, NULL, n_nationkey + 25 * t, n_nationkey + 25 * (t + 1), 0.5 + n_nationkey FROM nation, range(0, 2) AS r(t)""", fx.SQL_TORUS)
+@query("""SELECT CAST(t AS BIGINT) AS t, seq AS col, least(node1, coalesce(node2, node1)) + 25 * t AS node1, CASE WHEN node2 IS NULL THEN 75 ELSE greatest(node1, node2) + 25 * t END AS node2, CAST(1 AS DOUBLE) AS weight FROM torus, range(0, 3) AS r(t)
+UNION ALL SELECT t, NULL, n_nationkey + 25 * t, n_nationkey + 25 * (t + 1), CAST(0.5 + n_nationkey AS DOUBLE) FROM nation, range(0, 2) AS r(t)""", fx.SQL_TORUS)
 def g_repetitions(spark, sf_dir):
     """Three repetitions with time-like edges of their own weights."""
     step = fx.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("row"), (F.col("n_nationkey") + 0.5).cast("double").alias("weight"), F.lit(None).cast("double").alias("error_probability"))
