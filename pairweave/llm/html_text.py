@@ -45,9 +45,11 @@ DROPPED = frozenset("nav footer aside form button dialog menu head".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 #: Words of class and id that mark boilerplate.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|overlay|pagination|paywall|popup|promo|promotion|recommended|related|replies|respond|share|sharing|sidebar|signup|site-header|skip|social|sponsor|sponsored|subscribe|subscription|teaser|toolbar|widget)(?:$|[\s_-])",
+    r"(?:^|(?<!with)(?<!has)(?<!no)[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|overlay|pagination|paywall|popup|promo|promotion|recommended|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|subscription|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+_HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 
@@ -115,7 +117,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
             does = {"article": "article", "main": "main"}.get(name, "")
             if name == "article" and MARKS.search(marked):
                 does = "drop"
-        elif name in DROPPED or role in DROPPED_ROLES or name == "header" and not inside or MARKS.search(marked) or "hidden" in attrs:
+        elif name in DROPPED or role in DROPPED_ROLES or not inside and (name == "header" or _HEADER.search(marked)) or MARKS.search(marked) or attrs.get("aria-hidden") == "true" or _UNSEEN.search(attrs.get("style", "")) or re.search(r"(?<![\w-])hidden(?![\w-])", _NAMED.sub("", m[3])):
             does = "drop"
         elif role in ("main", "article"):
             does = role

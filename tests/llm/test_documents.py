@@ -342,6 +342,21 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>v
 <ul><li>i1<li>i2</ul><aside>no</aside><form><input value="a>b">f</form><div id="comments"><p>bad</p></div><p>last</p></article><div class="sidebar">side</div></main><footer>foot</footer></body></html>"""
 
 
+@pytest.mark.parametrize(
+    "page,main",
+    [
+        ('<div class="site-header">S</div><div class="content has-sidebar"><article class="post"><div class="post-header"><h1>T</h1></div><p hidden>x</p><p style="display: none">y</p><p>ok</p><div class="post-comments">c</div><section class="comments"><article class="comment"><p>z</p></article></section></article><div class="sidebar">no</div></div>', ["T", "ok"]),
+        ('<main><h1>A</h1><p>b</p><div class="share-bar">s</div><div id="notice">n</div></main><p>out', ["A", "b"]),
+        ('<article><p>x<article class="related">r</article></p>tail</article>', ["x", "tail"]),
+        ("<article><p>a &lt;b&gt; <!-- <p>no</p> --> c<![CDATA[ d ]]></p><template><p>t</p></template><p>1 < 2 and 3 > 2</p></article>", ["a <b> c d", "1 < 2 and 3 > 2"]),
+        ("<article><p>cut off <b>here", ["cut off here"]),
+        ("<article><script>unclosed", []),
+    ],
+)
+def test_blocks(page, main):
+    assert [t for r, t in html_text.blocks(page) if r == "main"] == main
+
+
 def test_extraction(spark):
     head, foot = "Welcome to our fine site today", "All rights reserved by the owner 2024"
     plain = [(10 + i, f"http://h.example/{i}", f"<body><div>{head}</div><p>unique text {i} {' '.join(f'w{i}_{k}' for k in range(30))}</p><div>{foot}</div></body>") for i in range(12)]
