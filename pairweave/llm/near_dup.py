@@ -1,7 +1,7 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A text is its words (see ``words``); its features are the five-word shingles
-(all its words if it has fewer), weighted (1 + ln tf) * ln(e + N / df) ** 0.25.
+(all its words if it has fewer), weighted (1 + ln tf) * ln(e + N / df) ** 0.1.
 df is counted over all documents, by hash into ``BUCKETS`` buckets: the table's
 size is fixed, and as N and df grow together the weights stay alike at any size.
 
@@ -16,8 +16,9 @@ Texts of equal words are one node from the start, however many they are.  A
 candidate more than a fifth of whose weight is in shingles that no other
 candidate has can't reach 0.8 with any and leaves before texts are compared.
 Within a band's bucket the pairs aren't listed: in each round some pivots a
-bucket are compared with the members of about their weight that aren't in their
-component yet.  First the member with the least weight of its own is the pivot,
+bucket are compared with the members that aren't in their component yet, unless
+weights and shares of rare shingles rule 0.8 out for the pair; texts that have a
+shingle to themselves as two are compared at once.  First the member with the least weight of its own is the pivot,
 then a few more, then all that are outside the bucket's largest component, more
 in each round, until every pair of two components has been compared.  So a round
 is linear in a bucket, there are as many rounds as the logarithm of the members
@@ -47,7 +48,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BUCKETS = 1 << 18
 REPEATS, BINS, ROWS = 4, 25, 5
 HUBS, PIVOTS = 3, 8
-_DAMP = 0.25
+_DAMP = 0.1
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -230,14 +231,20 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     met = cut(keyed.join(shared, "key"), paths)
     involved = met.select("node").distinct()
     texts = cut(own.join(involved, own.doc_id == involved.node).select("node", "text"), paths)
-    able = cut(_able(texts, idf, threshold), paths)
+    able, partners = _able(texts, idf, threshold, paths)
     members = met.join(able, "node")
     first = members.groupBy("key").agg(F.min(F.struct("lone", "node")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = cut(members.join(first.select("key", F.col("least.node").alias("least")), "key"), paths)
 
-    near = lambda a, b: F.col(a) >= threshold * F.col(b) - 1e-9
-    leaders = able.select(F.col("node").alias("least"), F.col("weight").alias("w"))
-    pairs = members.filter("node <> least").join(leaders, "least").filter(near("w", "weight") & near("weight", "w")).select(F.least("least", "node").alias("a"), F.greatest("least", "node").alias("b")).distinct()
+    # what two texts share is at most what either has beside its own; so is their similarity
+    def possible(own: str, other: str):
+        both = F.least(F.col("w") * (1 - F.col(other)), F.col("weight") * (1 - F.col(own)))
+        return both >= (threshold - 1e-9) * (F.col("w") + F.col("weight") - both)
+
+    second = lambda node: able.select(F.col("node").alias(node), F.col("weight").alias("w"), F.col("lone").alias("l"), F.col("rare").alias("r"))
+    leading = members.filter("node <> least").join(second("least"), "least").filter(possible("rare", "r")).select(F.least("least", "node").alias("a"), F.greatest("least", "node").alias("b"))
+    paired = partners.join(able.withColumnRenamed("node", "a"), "a").join(second("b"), "b").filter(possible("lone", "l")).select("a", "b")
+    pairs = leading.unionByName(paired).distinct()
     comp = contents.select("node", F.col("node").alias("comp")).limit(0)
     tested = pairs.limit(0)
     used = members.filter("node = least").select("key", "node")
@@ -248,7 +255,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         tested = cut(tested.unionByName(pairs), paths)
         comp = _joined(comp, scored.filter(F.col("similarity") >= threshold).select("a", "b"), paths)
 
-        placed = members.select("key", "node", "lone", "weight").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        placed = members.select("key", "node", "lone", "rare", "weight").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.count(F.lit(1)).alias("comps"))
         open_ = cut(placed.join(sizes.filter("comps > 1").select("key", "main"), "key"), paths)
         fresh = open_.join(used, ["key", "node"], "left_anti")
@@ -257,8 +264,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         if pivots.isEmpty():
             break
         used = cut(used.unionByName(pivots.select("key", "node")), paths)
-        ends = pivots.select("key", F.col("node").alias("p"), F.col("comp").alias("p_comp"), F.col("weight").alias("w"))
-        crossing = ends.join(open_, "key").filter((F.col("comp") != F.col("p_comp")) & near("w", "weight") & near("weight", "w"))
+        ends = pivots.select("key", F.col("node").alias("p"), F.col("comp").alias("p_comp"), F.col("weight").alias("w"), F.col("rare").alias("r"))
+        crossing = ends.join(open_, "key").filter((F.col("comp") != F.col("p_comp")) & possible("rare", "r"))
         pairs = crossing.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
         turn += 1
 
@@ -271,8 +278,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     return out
 
 
-def _able(texts: DataFrame, idf: Broadcast, threshold: float) -> DataFrame:
-    """node, weight (its total) and lone (the share of it in shingles that no other text has), where lone leaves room for the threshold."""
+def _able(texts: DataFrame, idf: Broadcast, threshold: float, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """node, weight (its total), lone and rare (the shares of it in shingles that no other text has, and one other at most), where lone leaves room for the threshold; and (a, b), those that are each other's only ones for some shingle."""
     bounded_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,8 +293,12 @@ def _able(texts: DataFrame, idf: Broadcast, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"shingle": pa.array(shingle.astype(np.int64)), "node": pa.array(node[i:j][of]), "share": pa.array(weight / total[of]), "weight": pa.array(total[of])})
 
     rows = texts.select("node", "text").mapInArrow(run, "shingle long, node long, share double, weight double")
-    alone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.first("share").alias("share"))
-    lone = alone.filter("node = last").groupBy("node").agg(F.sum("share").alias("lone"))
+    ends = rows.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.min_by("share", "node").alias("a_share"), F.max_by("share", "node").alias("b_share"), F.count(F.lit(1)).alias("n"))
+    few = cut(ends.filter("a = b OR n = 2").drop("shingle", "n"), paths)
+    one = few.filter("a = b").select(F.col("a").alias("node"), F.col("a_share").alias("lone"), F.col("a_share").alias("rare"))
+    of = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a_share").alias("rare")), F.struct(F.col("b").alias("node"), F.col("b_share").alias("rare"))))
+    two = few.filter("a <> b").select(of.alias("x")).select("x.node", F.lit(0.0).alias("lone"), "x.rare")
+    lone = one.unionByName(two).groupBy("node").agg(F.sum("lone").alias("lone"), F.sum("rare").alias("rare"))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,7 +311,8 @@ def _able(texts: DataFrame, idf: Broadcast, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"node": batch.column(0), "weight": pa.array(np.concatenate(parts))})
 
     total = texts.select("node", "text").mapInArrow(sizes, "node long, weight double").groupBy("node").agg(F.max("weight").alias("weight"))
-    return total.join(lone, "node", "left").select("node", "weight", F.coalesce("lone", F.lit(0.0)).alias("lone")).filter(F.col("lone") <= 1 - threshold + 1e-9)
+    able = total.join(lone, "node", "left").select("node", "weight", F.coalesce("lone", F.lit(0.0)).alias("lone"), F.coalesce("rare", F.lit(0.0)).alias("rare"))
+    return cut(able.filter(F.col("lone") <= 1 - threshold + 1e-9), paths), cut(few.filter("a <> b").select("a", "b").distinct(), paths)
 
 
 def _joined(comp: DataFrame, links: DataFrame, paths: list[str]) -> DataFrame:
@@ -316,9 +328,9 @@ def _joined(comp: DataFrame, links: DataFrame, paths: list[str]) -> DataFrame:
 
 
 def _few(rows: DataFrame, take: int) -> DataFrame:
-    """key, node, comp and weight of the first ``take`` rows a key, those of the least weight of their own first.
+    """key, node, comp, weight and rare of the first ``take`` rows a key, those of the least weight of their own first.
 
     The limit on the rank is applied within tasks before rows are shuffled.
     """
     order = W.partitionBy("key").orderBy("lone", F.xxhash64("node"), "node")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= take).select("key", "node", "comp", "weight")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= take).select("key", "node", "comp", "weight", "rare")
