@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .arrow import ids_and_bytes, map_batches, texts
 
 WIDTHS = (4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128)
-CACHE_TOKENS = 500_000
+CACHE_TOKENS = 150_000
 _WIDTH_OF = [min(w for w in WIDTHS if w >= n) for n in range(WIDTHS[-1] + 1)]
 _NONE = np.int32(2**31 - 1)
 
