@@ -13,8 +13,7 @@ two such rows is first in both, so a repeated row is not a copy of itself.  Null
 texts stay null and empty ones empty; a text whose lines all go becomes empty.
 
 First places are found by a group-by that sums within tasks; later occurrences
-are joined to them on the hash, which adaptive execution splits where a window
-is in a large part of all rows.  Texts are shuffled once, to meet the lines to
+are joined to them on the hash, the most frequent windows dealt to many parts.  Texts are shuffled once, to meet the lines to
 remove.
 """
 
@@ -23,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import salted_join
+
 WINDOW = 3
 
 
@@ -45,8 +46,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     hashed = each.select("doc", "body", "at", *_hash_pair(F.col("w")))
 
     place = F.struct(F.col("doc"), F.col("at"))
-    repeated = hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first")
-    later = hashed.join(repeated, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
+    repeated = hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first", "n")
+    later = salted_join(hashed, repeated, ["h1", "h2"], "n", F.col("doc")).filter(~place.eqNullSafe(F.col("first")))
     remove = later.groupBy("doc", "body").agg(F.collect_set("at").alias(gone)).select(F.col("doc").cast("string").alias("doc"), "body", gone)
 
     right = remove.withColumnsRenamed({"doc": doc + "r", "body": body + "r"})

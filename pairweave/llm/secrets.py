@@ -10,7 +10,7 @@ aren't examples.
 
 Counts go by (hash, owner, repository) first and by hash then, so a value in a
 third of all rows is summed before it is shuffled; classes are joined back to
-candidates only, and rows without candidates take no part.
+candidates only, the most frequent values dealt to many parts, and rows without candidates take no part.
 
 A null text counts as empty; a null owner or repository is one of its own;
 rows are told apart, so repeated rows all stay; spans of equal start go by the
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches, texts
+from .skew import salted_join
 from .storage import cut
 
 WIDE = 5
@@ -107,7 +108,7 @@ def secrets(docs: DataFrame, wide: int = WIDE, **columns) -> DataFrame:
     found = cut(candidates(docs, **columns).withColumn("row", F.monotonically_increasing_id()))  # kept, as row ids aren't the same when computed again
     none = F.expr("CAST(array() AS array<struct<start:long,kind:int,end:long,n_owners:long,n_repositories:long,example:boolean,live:boolean>>)")
     single = found.filter(F.size("found") > 0).select("row", "doc_id", F.explode("found").alias("x")).select("row", "doc_id", "x.*")
-    joined = single.join(ownership(found, wide), "hash")
+    joined = salted_join(single, ownership(found, wide).withColumnRenamed("n_rows", "n"), ["hash"], "n", F.col("row"))
     span = F.struct("start", "kind", "end", "n_owners", "n_repositories", "example", (~F.col("example") & F.col("varied")).alias("live"))
     spans = joined.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(span)).alias("spans"))
     out = found.filter(F.size("found") == 0).select("doc_id", none.alias("spans")).unionByName(spans.select("doc_id", "spans"))

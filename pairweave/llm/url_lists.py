@@ -9,8 +9,7 @@ was fetched.
 Rules meet distinct hosts first, by domain; what a host may match is one row
 with its intervals, joined to captures by host and evaluated as of each fetch by
 array functions.  No row is made for a pair of capture and rule, and captures
-are not grouped; where one host has a large part of the captures, adaptive
-execution splits the join.
+are not grouped; captures of the hosts with most of them are dealt to many parts.
 
 A null or malformed URL has a null host and, as a null day, matches nothing;
 entries with nulls are left out; repeated entries count once and repeated
@@ -24,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .skew import salted_join
+
 #: The list that the query uses: fixed example entries for the test hosts.
 ENTRIES = (
     ("ads", "ads-track.example.com", "2024-01-10", "add"),
@@ -63,9 +64,9 @@ def evaluate(captures: DataFrame, dated: DataFrame, id_col: str = "page_id", url
     own = captures.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host(F.col(url_col)).alias("host"), (F.col("day") if day is None else day).alias("day"))
     parts = F.split("host", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    hosts = own.filter(F.col("host").isNotNull()).select("host").distinct().select("host", F.explode(above).alias("domain"))
-    rules = hosts.join(intervals(dated), "domain").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("list", "domain", "since", "until"))).alias("rules"))
-    both = own.join(rules, "host", "left")
+    hosts = own.filter(F.col("host").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("n")).select("host", "n", F.explode(above).alias("domain"))
+    rules = hosts.join(intervals(dated), "domain").groupBy("host").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("list", "domain", "since", "until"))).alias("rules"))
+    both = salted_join(own, rules, ["host"], "n", F.col("page_id"), "left")
     active = F.filter("rules", lambda r: (r["since"] <= F.col("day")) & (r["until"].isNull() | (F.col("day") < r["until"])))
     active = F.coalesce(F.transform(active, lambda r: F.struct(r["list"].alias("list"), r["domain"].alias("domain"), r["since"].alias("since"))), F.expr("CAST(array() AS array<struct<list:string,domain:string,since:date>>)"))
     return both.select("page_id", "url", "host", "day", active.alias("active")).withColumn("blocked", F.size("active") > 0)
