@@ -5,21 +5,27 @@ role: ``drop`` (menus, headers, footers, sidebars, notices, adverts, forms,
 comments, by element, role, class or id; scripts, styles and other raw content
 never become text), ``main`` (inside article, or else main or role=main), or
 ``open``.  Blocks in main are the text of the page.  Where a page has no such
-landmark, its open blocks are judged by what its host repeats: the word streams
-of the host's pages (open and dropped blocks outside the main part) are
-concatenated, a suffix array is built over them, and what runs of ``RUN`` words
-or more that recur in ``SHARE`` of the distinct pages, three at least, cover to
-four fifths is boilerplate.  Unique runs stay.
-
-Pages are parsed where they are read.  Their blocks are then brought together by
-host, a host of many pages in several groups by a hash of the page, and a task
-works through them in windows of at most ``WINDOW`` words, so no host has to fit
-into memory.  Hosts to split are counted first; at most 1,000 can have a
-thousandth of all pages each, so that list is small enough to be broadcast.
-
-Null or empty html gives an empty text.  Pages of equal streams count as one, so
-copies of a page are no boilerplate; repeated rows each get their text; pages
-without a host are a group of their own; other columns are not read.
+landmark, its open blocks are judged by what its host repeats: every run of
+``RUN`` words of the host's pages, of all blocks whatever their role, is counted
+by distinct pages over the whole host, and those in ``SHARE`` of them, three at
+least, are boilerplate.  A suffix array over the word streams of the host's
+pages without a landmark brings equal runs together and marks them.  An open
+block of which runs cover four fifths goes.
+
+So structure is a guard: what is in article or main stays even if repeated, and
+on pages that have one repetition decides nothing.
+
+Pages are parsed where they are read, those with a landmark go no further.  The
+others are brought together by host, a host of many such pages in several groups
+by a hash of the page, and a task works through them in windows of at most
+``WINDOW`` words, so no host has to fit into memory; windows and groups have no
+bearing on results, as counts are the host's.  Hosts to split are counted first;
+at most 1,000 can have a thousandth of all pages each, so that list is small
+enough to be broadcast.  Runs are counted by 64-bit hashes.
+
+Null or empty html gives an empty text.  Pages of equal text count as one, so
+copies of a page are no boilerplate; repeated rows each get their text; pages without a host are a group
+of their own; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +41,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import bounded_batches
+from .storage import cut
 from .url_lists import host
+from .words import shingles
 
 RUN, SHARE, WINDOW, GROUP = 5, 0.3, 400_000, 2_000
 #: Fixed names of HTML.
@@ -169,98 +178,179 @@ def common_prefixes(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def repeated(streams: list[list[str]], run: int = RUN, share: float = SHARE) -> list[np.ndarray]:
-    """For each stream, which of its words are covered by runs that recur in enough distinct streams."""
+def _suffixes(streams: list[list], run: int) -> tuple[list[int], list[list], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the streams: which distinct one each is, the distinct ones, where they begin and whose each place is, all suffixes in order, and their groups by the first ``run`` words."""
     place: dict[tuple, int] = {}
     which = [place.setdefault(tuple(s), len(place)) for s in streams]
     distinct = list(place)
-    least = max(3, int(np.ceil(share * len(distinct))))
-    if len(distinct) < least:
-        return [np.zeros(len(s), bool) for s in streams]
-    ids: dict[str, int] = {}
+    ids: dict = {}
     flat, page = [], []
     for p, s in enumerate(distinct):
         flat += [ids.setdefault(x, len(ids)) for x in s] + [-1 - p]
         page += [p] * (len(s) + 1)
-    flat_, page_ = np.array(flat, np.int64), np.array(page, np.int64)
-    order, levels = suffix_array(flat_)
-    shared = common_prefixes(order, levels)
-    group = np.cumsum(shared < run)  # suffixes of one group share their first ``run`` words
-    pairs = np.unique(group * len(distinct) + page_[order])
-    pages = np.bincount(pairs // len(distinct), minlength=group[-1] + 1)
-    hits = order[pages[group] >= least]
-    cover = np.zeros(len(flat_) + run + 1, np.int64)
-    np.add.at(cover, hits, 1)
-    np.add.at(cover, hits + run, -1)
-    covered = np.cumsum(cover)[: len(flat_)] > 0
+    order, levels = suffix_array(np.array(flat, np.int64))
+    group = np.cumsum(common_prefixes(order, levels) < run)
     begin = np.concatenate([[0], np.cumsum([len(s) + 1 for s in distinct])])
+    return which, distinct, begin, np.array(page, np.int64), order, group
+
+
+def _covered(starts: np.ndarray, run: int, n: int) -> np.ndarray:
+    """Which of ``n`` places lie in runs that start at ``starts``."""
+    cover = np.zeros(n + run + 1, np.int64)
+    np.add.at(cover, starts, 1)
+    np.add.at(cover, starts + run, -1)
+    return np.cumsum(cover)[:n] > 0
+
+
+def repeated(streams: list[list[str]], run: int = RUN, share: float = SHARE) -> list[np.ndarray]:
+    """For each stream, which of its words are covered by runs that recur in enough distinct streams."""
+    which, distinct, begin, page, order, group = _suffixes(streams, run)
+    least = max(3, int(np.ceil(share * len(distinct))))
+    if len(distinct) < least:
+        return [np.zeros(len(s), bool) for s in streams]
+    pairs = np.unique(group * len(distinct) + page[order])
+    pages = np.bincount(pairs // len(distinct), minlength=group[-1] + 1)
+    covered = _covered(order[pages[group] >= least], run, len(page))
     return [covered[begin[w] : begin[w] + len(s)] for w, s in zip(which, streams)]
 
 
-def _judge(rows: list[tuple]) -> list[str]:
-    """Texts of a window of pages of one host: (main text or None, roles, block texts)."""
-    if all(main is not None for main, _, _ in rows):
-        return [main for main, _, _ in rows]
-    split = [[x.split() for x in texts] for _, _, texts in rows]
-    covers = repeated([[w for x in s for w in x] for s in split])
+def _keys(stream: list[str], known: dict[str, int]) -> np.ndarray:
+    """64-bit hashes of words, alike in every process."""
+    return np.array([known.get(x) or known.setdefault(x, int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little")) for x in stream], np.uint64)
+
+
+def _judge(rows: list[tuple], recurring: np.ndarray, run: int = RUN) -> list[str]:
+    """Texts of a window of pages (roles, block texts) of one host whose ``recurring`` runs (sorted hashes) are given.
+
+    The suffix array brings equal runs of the window together; each is looked up once.
+    """
+    split = [[x.split() for x in texts] for _, texts in rows]
+    streams = [[w for x in s for w in x] for s in split]
+    which, distinct, begin, _, order, group = _suffixes(streams, run)
+    starts = np.zeros(begin[-1], bool)
+    known: dict[str, int] = {}
+    if len(recurring) and len(order):
+        flat = np.zeros(begin[-1] + run, np.uint64)
+        for b, s in zip(begin, distinct):
+            flat[b : b + len(s)] = _keys(list(s), known)
+        inside = np.zeros(len(flat), bool)  # a run from here ends within its page
+        for b, s in zip(begin, distinct):
+            inside[b : b + max(0, len(s) - run + 1)] = True
+        head = order[np.flatnonzero(np.diff(group, prepend=-1))]
+        found = np.isin(shingles(flat, run)[head].astype(np.int64), recurring) & inside[head]
+        starts[order[found[group - group[0]]]] = True
     out = []
-    for (main, roles, texts), s, cover in zip(rows, split, covers):
-        if main is not None:
-            out.append(main)
-            continue
-        at, keep = 0, []
+    for w, (roles, texts), s in zip(which, rows, split):
+        block = np.repeat(np.arange(len(s)), [len(x) for x in s])
+        at = np.flatnonzero(starts[begin[w] : begin[w] + len(block)])
+        anywhere = _covered(at, run, len(block))
+        first, keep = 0, []
         for role, text, words in zip(roles, texts, s):
-            share = cover[at : at + len(words)].mean()
-            at += len(words)
-            if role == "open" and share < 0.8:
+            own = slice(first, first + len(words))
+            first += len(words)
+            if role == "open" and anywhere[own].mean() < 0.8:
                 keep.append(text)
         out.append("\n".join(keep))
     return out
 
 
+def _found(page: bytes | None) -> tuple[list[tuple[str, str]], str | None, int]:
+    """A page's blocks, its text if structure alone gives it, and the hash of all its text."""
+    found = blocks((page or b"").decode("utf-8", "replace"))
+    main = [t for r, t in found if r == "main"]
+    text = "\n".join(main) if main else None if any(r == "open" for r, _ in found) else ""
+    own = "\n".join(t for _, t in found)
+    return found, text, int.from_bytes(blake2b(own.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = [_found(x)[1:] for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v for _, v in got], pa.int64()), pa.array([t is None for t, _ in got], pa.bool_())], names=["host", "vote", "judged"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of each page, of all its blocks, whatever their role."""
+    for batch in batches:
+        votes, runs, known = [], [], {}
+        for page in batch.column(1).to_pylist():
+            found, _, vote = _found(page)
+            key = _keys([w for _, t in found for w in t.split()], known)
+            votes.append(vote)
+            runs.append(np.unique(shingles(key, RUN).astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.int64()), pa.array(runs, pa.list_(pa.int64()))], names=["host", "vote", "runs"])
+
+
+def _direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        text = pa.array([_found(x)[1] for x in batch.column(2).to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text], names=["page_id", "url", "text"]).filter(text.is_valid())
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    strings = pa.list_(pa.string())
     for batch in batches:
-        mains, roles, texts = [], [], []
-        for page in batch.column(4).to_pylist():
-            found = blocks((page or b"").decode("utf-8", "replace"))
-            main = [t for r, t in found if r == "main"]
-            rest = [(r, t) for r, t in found if r != "main"]
-            mains.append("\n".join(main) if main else None if any(r == "open" for r, _ in rest) else "")
-            roles.append([r for r, _ in rest])
-            texts.append([t for _, t in rest])
-        strings = pa.list_(pa.string())
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(mains, pa.string()), pa.array(roles, strings), pa.array(texts, strings)], names=["page_id", "url", "host", "part", "main", "roles", "texts"])
+        kept, roles, texts = [], [], []
+        for k, page in enumerate(batch.column(4).to_pylist()):
+            found, text, _ = _found(page)
+            if text is None:
+                kept.append(k)
+                roles.append([r for r, _ in found])
+                texts.append([t for _, t in found])
+        rows = batch.take(pa.array(kept, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(4)), pa.array(roles, strings), pa.array(texts, strings)], names=["page_id", "url", "host", "part", "roles", "texts"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
-    key, size = None, 0
+    key, size, recurring = None, 0, np.zeros(0, np.int64)
 
     def done() -> pa.RecordBatch:
-        out = _judge([x[2:] for x in held])
+        out = _judge([x[2:] for x in held], recurring)
         return pa.RecordBatch.from_pydict({"page_id": pa.array([x[0] for x in held], pa.int64()), "url": pa.array([x[1] for x in held], pa.string()), "text": pa.array(out, pa.string())})
 
     for batch in batches:
-        for page, url, host_, part, main, roles, texts in zip(*(batch.column(i).to_pylist() for i in range(7))):
-            words = sum(x.count(" ") + 1 for x in texts) + 1 + (len(main) >> 3 if main else 0)
+        for k, (page, url, host_, part, roles, texts) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(6)))):
+            words = sum(x.count(" ") + 1 for x in texts) + 1
             if held and ((host_, part) != key or size + words > WINDOW):
                 yield done()
                 held, size = [], 0
-            key = (host_, part)
-            held.append((page, url, main, roles, texts))
+            if (host_, part) != key:
+                key, recurring = (host_, part), batch.column(6)[k].values
+                recurring = np.zeros(0, np.int64) if recurring is None else np.sort(recurring.to_numpy())
+            held.append((page, url, roles, texts))
             size += words
     if held:
         yield done()
 
 
+def recurring_runs(own: DataFrame, seen: DataFrame) -> DataFrame:
+    """host and runs, the hashes of those in ``SHARE`` of its distinct pages, three at least; hosts where no page is judged are left out."""
+    hosts = seen.groupBy("host").agg(F.max("judged").alias("judged"), F.countDistinct("vote").alias("pages"))
+    hosts = hosts.filter("judged AND pages >= 3").select("host", F.greatest(F.lit(3), F.ceil(F.col("pages") * F.lit(SHARE))).alias("least"))
+    each = own.join(hosts, "host", "left_semi").select("host", "html").mapInArrow(_runs, "host string, vote long, runs array<long>")
+    distinct = each.select("host", "vote", F.explode("runs").alias("run")).distinct()
+    often = distinct.groupBy("host", "run").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    return often.join(hosts, "host").filter("n >= least").groupBy("host").agg(F.collect_list("run").alias("runs"))
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = GROUP) -> DataFrame:
     """page_id, url and text of every page."""
     spark = pages.sparkSession
     bounded_batches(spark)
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("binary").alias("html")).withColumn("host", F.coalesce(host(F.col("url")), F.lit("")))
-    total = own.count()
-    large = own.groupBy("host").count().filter(F.col("count") > max(group, total // 1000)).select(F.col("host"), F.ceil(F.col("count") / group).alias("parts"))
-    placed = own.join(F.broadcast(large), "host", "left")  # at most 1,000 rows: each host has over a thousandth of all pages
+    direct = own.select("page_id", "url", "html").mapInArrow(_direct, "page_id long, url string, text string")
+    seen = cut(own.select("host", "html").mapInArrow(_look, "host string, vote long, judged boolean"))
+    judged = seen.filter("judged")
+    total = judged.count()
+    if not total:
+        return direct
+    large = judged.groupBy("host").count().filter(F.col("count") > max(group, total // 1000)).select(F.col("host"), F.ceil(F.col("count") / group).alias("parts"))
+    large = F.broadcast(large)  # at most 1,000 rows: each host has over a thousandth of all judged pages
+    placed = own.join(judged.select("host").distinct(), "host", "left_semi").join(large, "host", "left")
     part = F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("parts")), F.lit(0)).cast("long")
-    parsed = placed.select("page_id", "url", "host", part.alias("part"), "html").mapInArrow(_parse, "page_id long, url string, host string, part long, main string, roles array<string>, texts array<string>")
-    return parsed.repartition("host", "part").sortWithinPartitions("host", "part", "page_id").mapInArrow(_windows, "page_id long, url string, text string")
+    parsed = placed.select("page_id", "url", "host", part.alias("part"), "html").mapInArrow(_parse, "page_id long, url string, host string, part long, roles array<string>, texts array<string>")
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))
+    runs = cut(recurring_runs(own, seen)).join(large, "host", "left").select("host", parts.alias("part"), "runs")
+    met = parsed.repartition("host", "part").join(runs, ["host", "part"], "left").select("page_id", "url", "host", "part", "roles", "texts", "runs")
+    return direct.unionByName(met.sortWithinPartitions("host", "part", "page_id").mapInArrow(_windows, "page_id long, url string, text string"))

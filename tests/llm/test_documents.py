@@ -374,6 +374,21 @@ def test_extraction(spark):
     assert {k: v for k, v in split.items() if k < 10} == {k: v for k, v in by.items() if k < 10}
 
 
+def plain_page(i, head, foot, n=30, menu=""):
+    return f"<body>{menu}<div>{head}</div><p>unique text {i} {' '.join(f'w{i}_{k}' for k in range(n))}</p><div>{foot}</div></body>"
+
+
+def test_repetition_is_counted_over_the_whole_host(spark, monkeypatch):
+    head, foot = "Welcome to our fine site today", "All rights reserved by the owner 2024"
+    rows = [(i, "http://h.example/", plain_page(i, head, foot)) for i in range(40)] + [(99, "http://h.example/", plain_page(99, head, foot, html_text.WINDOW))]
+    # pages with a landmark are counted too, whatever the role of the block
+    rows += [(200 + i, "http://m.example/", f"<footer>{foot}</footer><article>text {i}</article>") for i in range(3)] + [(210, "http://m.example/", f"<p>open text</p><div>{foot}</div>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: h[h.index("<p>") + 3 : h.index("</p>")] for i, _, h in rows if i < 100} | {200: "text 0", 201: "text 1", 202: "text 2", 210: "open text"}
+    for group in (2000, 7, 1):
+        assert {r.page_id: r.text for r in html_text.extract(df, group=group).collect()} == want
+
+
 def test_extraction_of_the_test_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
