@@ -9,8 +9,9 @@ landmark, its open blocks are judged by what its host repeats: every run of
 ``RUN`` words of the host's pages, of all blocks whatever their role, is counted
 by distinct pages over the whole host, and those in ``SHARE`` of them, three at
 least, are boilerplate.  A suffix array over the word streams of the host's
-pages without a landmark brings equal runs together and marks them.  An open
-block of which runs cover four fifths goes.
+pages without a landmark brings equal runs together and marks them.  Of an open
+block the words go that a run within it covers; a block that runs cover whole,
+also those that begin or end beside it, goes whole.  Unique words stay.
 
 So structure is a guard: what is in article or main stays even if repeated, and
 on pages that have one repetition decides nothing.
@@ -23,8 +24,9 @@ bearing on results, as counts are the host's.  Hosts to split are counted first;
 at most 1,000 can have a thousandth of all pages each, so that list is small
 enough to be broadcast.  Runs are counted by 64-bit hashes.
 
-Null or empty html gives an empty text.  Pages of equal text count as one, so
-copies of a page are no boilerplate; repeated rows each get their text; pages without a host are a group
+Null or empty html gives an empty text.  Pages of equal text outside dropped
+blocks count as one, so copies of a page, under other menus too, are no
+boilerplate; repeated rows each get their text; pages without a host are a group
 of their own; other columns are not read.
 """
 
@@ -244,22 +246,25 @@ def _judge(rows: list[tuple], recurring: np.ndarray, run: int = RUN) -> list[str
         block = np.repeat(np.arange(len(s)), [len(x) for x in s])
         at = np.flatnonzero(starts[begin[w] : begin[w] + len(block)])
         anywhere = _covered(at, run, len(block))
+        within = _covered(at[block[at] == block[at + run - 1]], run, len(block))
         first, keep = 0, []
         for role, text, words in zip(roles, texts, s):
             own = slice(first, first + len(words))
             first += len(words)
-            if role == "open" and anywhere[own].mean() < 0.8:
-                keep.append(text)
+            if role != "open" or anywhere[own].all():
+                continue
+            gone = within[own]
+            keep.append(" ".join(x for x, g in zip(words, gone) if not g) if gone.any() else text)
         out.append("\n".join(keep))
     return out
 
 
 def _found(page: bytes | None) -> tuple[list[tuple[str, str]], str | None, int]:
-    """A page's blocks, its text if structure alone gives it, and the hash of all its text."""
+    """A page's blocks, its text if structure alone gives it, and the hash of its text outside dropped blocks."""
     found = blocks((page or b"").decode("utf-8", "replace"))
     main = [t for r, t in found if r == "main"]
     text = "\n".join(main) if main else None if any(r == "open" for r, _ in found) else ""
-    own = "\n".join(t for _, t in found)
+    own = "\n".join(t for r, t in found if r != "drop")
     return found, text, int.from_bytes(blake2b(own.encode(), digest_size=8).digest(), "little", signed=True)
 
 

@@ -389,6 +389,18 @@ def test_repetition_is_counted_over_the_whole_host(spark, monkeypatch):
         assert {r.page_id: r.text for r in html_text.extract(df, group=group).collect()} == want
 
 
+def test_unique_words_stay_and_copies_do_not_vote(spark):
+    foot = "All rights reserved by the owner 2024"
+    other = lambda i: " ".join(f"v{i}_{k}" for k in range(12))
+    rows = [(i, "http://h.example/", f"<p>{other(i)}</p><div>{foot} s{i} t{i}</div><div>{foot} " + " ".join(f"x{i}_{k}" for k in range(40)) + "</div>") for i in range(6)]
+    rows += [(20 + i, "http://h.example/", f"<nav>menu {other(50 + i)}</nav><p>one copied article that is on many pages of the host</p>") for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    for i in range(6):
+        assert got[i] == f"{other(i)}\ns{i} t{i}\n" + " ".join(f"x{i}_{k}" for k in range(40))
+    assert {got[20 + i] for i in range(8)} == {"one copied article that is on many pages of the host"}
+
+
 def test_extraction_of_the_test_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
