@@ -1,9 +1,12 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A text is its words (see ``words``); its features are the five-word shingles
-(all its words if it has fewer), weighted (1 + ln tf) * ln(e + N / df) ** 0.1.
-df is counted over all documents, by hash into ``BUCKETS`` buckets: the table's
-size is fixed, and as N and df grow together the weights stay alike at any size.
+(all its words if it has fewer), weighted (1 + ln tf) * ln(e + N / df) ** 0.25.
+df is that of the shingle, from a sketch of fixed size: each of ``SKETCHES`` rows
+sums df by hash into ``BUCKETS`` buckets, what other shingles add to a bucket on
+average is taken off, and the middle one of the rows' values counts, 1 at least.
+A row is off by more than k * sqrt(sum of all df squared / BUCKETS) for at most
+1 / k^2 of the shingles, the middle one of three for at most 3 / k^4.
 
 ``REPEATS`` times, the shingles are dealt by hash to ``BINS`` bins and improved
 consistent weighted sampling takes one (shingle, level) of each bin; empty bins
@@ -45,10 +48,10 @@ from .storage import cut, remove
 from .words import mix, row_shingles, words
 
 SHINGLE, THRESHOLD = 5, 0.8
-BUCKETS = 1 << 18
+BUCKETS, SKETCHES, PIECE = 1 << 18, 3, 1 << 14
 REPEATS, BINS, ROWS = 4, 25, 5
 HUBS, PIVOTS = 3, 8
-_DAMP = 0.1
+_DAMP = 0.25
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,38 +76,53 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return of[at], shingle[at], tf, content[0], content[1]
 
 
-def _bucket(shingle: np.ndarray) -> np.ndarray:
-    return (mix(shingle) % np.uint64(BUCKETS)).astype(np.int64)
+def _buckets(shingle: np.ndarray) -> list[np.ndarray]:
+    """The bucket of each shingle in each row of the sketch, from bits of their own."""
+    x = mix(shingle)
+    return [((x >> np.uint64(20 * k)) % np.uint64(BUCKETS)).astype(np.int64) for k in range(SKETCHES)]
 
 
 def weights(shingle: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return (1 + np.log(tf)) * idf[_bucket(shingle)]
+    a, b, c = (row[at] for row, at in zip(idf, _buckets(shingle)))
+    return (1 + np.log(tf)) * np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
 
 
 def document_frequencies(own: DataFrame) -> np.ndarray:
-    """N and, by bucket, how many documents have one of its shingles; at most BUCKETS rows reach the driver."""
+    """The sketch's rows, each the sums of df by bucket with N after them; SKETCHES * BUCKETS numbers reach the driver, in pieces."""
     bounded_batches(own.sparkSession)
+    width = BUCKETS + PIECE  # N has a piece of its own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS + 1, np.int64)
+        total = np.zeros((SKETCHES, width), np.int64)
         for batch in batches:
             at, data = views(batch.column(1))
             for i, j in row_groups(at):
-                of, shingle, _, _, _ = features(data[at[i] : at[j]], at[i : j + 1])
-                pair = np.unique(of * BUCKETS + _bucket(shingle))
-                total[:BUCKETS] += np.bincount(pair % BUCKETS, minlength=BUCKETS)
-            total[BUCKETS] += batch.num_rows
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(k.astype(np.int32)), "n": pa.array(total[k])})
-
-    got = own.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS + 1, np.int64)
-    out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    return out
+                _, shingle, _, _, _ = features(data[at[i] : at[j]], at[i : j + 1])
+                for row, bucket in zip(total, _buckets(shingle)):
+                    row[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
+            total[:, BUCKETS] += batch.num_rows
+        pieces = total.reshape(-1, PIECE)
+        k = np.flatnonzero(pieces.any(1))
+        yield pa.RecordBatch.from_pydict({"piece": pa.array(k.astype(np.int32)), "sums": pa.array([pieces[x].tobytes() for x in k], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        sums = np.zeros(PIECE, np.int64)
+        for x in table.column("sums"):
+            sums += np.frombuffer(x.as_buffer(), np.int64)
+        return pa.table({"piece": table.column("piece")[:1], "sums": pa.array([sums.tobytes()], pa.binary())})
+
+    got = own.mapInArrow(run, "piece int, sums binary").groupBy("piece").applyInArrow(add, "piece int, sums binary").toArrow()
+    out = np.zeros((SKETCHES, width), np.int64)
+    for k, x in zip(got.column("piece").to_pylist(), got.column("sums").to_pylist()):
+        out.reshape(-1, PIECE)[k] = np.frombuffer(x, np.int64)
+    return out[:, : BUCKETS + 1]
 
 
 def inverse_frequencies(df: np.ndarray) -> np.ndarray:
-    return np.log(np.e + df[BUCKETS] / np.maximum(df[:BUCKETS], 1)) ** _DAMP
+    sums, n = df[:, :BUCKETS].astype(np.float64), float(df[0, BUCKETS])
+    others = (sums.sum(1, keepdims=True) - sums) / (BUCKETS - 1)
+    own = np.clip(sums - others, 1, max(n, 1))
+    return np.log(np.e + n / own) ** _DAMP
 
 
 def _uniform(x: np.ndarray, k: int) -> np.ndarray:
@@ -221,7 +239,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     spark: SparkSession = docs.sparkSession
     own = ids_and_bytes(docs, id_col, text_col)
     paths: list[str] = []
-    idf = spark.sparkContext.broadcast(inverse_frequencies(document_frequencies(own)))  # BUCKETS floats, 2 MB
+    idf = spark.sparkContext.broadcast(inverse_frequencies(document_frequencies(own)))  # SKETCHES * BUCKETS floats, 6 MB
     signed = cut(_signatures(own, idf), paths)
     with_words = signed.filter(F.col("bands").isNotNull() & F.col("doc_id").isNotNull())
     contents = cut(with_words.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), paths)

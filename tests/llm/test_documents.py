@@ -174,6 +174,24 @@ def test_near_duplicates_by_brute_force(spark):
     assert got == classes_by_hand(rows, idf)
 
 
+def test_weights_by_document_frequency(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    shared = [[word() for _ in range(5)] for _ in range(3)]
+    texts = [[word() for _ in range(2000)] for _ in range(300)]
+    for k, share in enumerate((300, 100, 20)):
+        for t in texts[:share]:
+            t += shared[k]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    idf = near_dup.inverse_frequencies(near_dup.document_frequencies(near_dup.ids_and_bytes(df)))
+    of = lambda words: near_dup.weights(near_dup.features(b := np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, len(b)]))[1], 1, idf)
+    want = lambda n: np.log(np.e + 300 / n) ** 0.25
+    for k, n in enumerate((300, 100, 20)):
+        assert abs(of(shared[k])[0] - want(n)) < 0.04
+    rare = of(texts[0][:2000])  # 600,000 shingles share 2^18 buckets, two and more in each
+    assert np.median(rare) > 0.95 * want(1)
+
+
 def test_near_duplicate_edge_cases(spark):
     rows = [(5, "a b c d e f g"), (3, "A b, c d e f g!"), (5, "a b c d e f g"), (9, None), (8, ""), (7, ""), (None, "a b c d e f g")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
