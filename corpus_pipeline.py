@@ -8,13 +8,16 @@ the last return the columns of documents.  Stages:
   marks only) go;
 * line dedup: later occurrences of three-line windows go from the texts, with
   n_chars counted anew where it changed; a text of which nothing is left goes;
-* near-dedup: of each class the document of the least doc_id stays, once;
-* decontamination: documents of which a twentieth or more are benchmark
+* near-dedup: of each class the row of the least doc_id stays, and of several
+  such rows one; rows of equal doc_id are told apart by their texts;
+* decontamination: rows of which a twentieth or more are benchmark
   windows' words go;
 * byte-level BPE: the ids of each text.
 
-Rows are never dropped for another reason.  Null texts are ``und``; a null
-doc_id is a class of its own in near-dedup.
+Rows are never dropped for another reason, and each is judged by its own text,
+whatever other rows share its doc_id.  Null texts are ``und``; rows of null
+doc_id are in near-dedup compared with one another only, and of each of their
+classes one stays.
 """
 
 from __future__ import annotations
@@ -43,15 +46,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stay = near_dup.classes(docs).filter("doc_id = class_id").select(F.col("class_id").alias("stays")).distinct()
-    kept = docs.join(stay, docs["doc_id"] == stay["stays"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    key = max(docs.columns, key=len) + "_row"
+    keyed = cut(docs.withColumn(key, F.monotonically_increasing_id()))  # written, so that each row keeps its key
+    of = near_dup.classes(keyed, id_col=key).select(F.col("doc_id").alias("k"), F.col("class_id").alias("c"))
+    rows = keyed.select(F.col(key).alias("k"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"))
+    first = rows.join(of, "k").groupBy("c", F.col("d").isNull()).agg(F.min(F.struct("d", "h", "k")).alias("least"))
+    return keyed.join(first.select(F.col("least.k").alias(key)), key, "left_semi").select(*docs.columns)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad"]), "left_anti").select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    found = decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), keep=("row",))
+    return found.filter(~F.col("contaminated")).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

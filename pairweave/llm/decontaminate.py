@@ -174,8 +174,9 @@ def _match(block: Block, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
 _KINDS = "doc_id long, n_words long, hits binary, items array<long>"
 
 
-def _apply(docs: DataFrame, shared, last: bool, again: bool) -> DataFrame:
-    """Adds a block's hits (a bit a word, packed) and items to those of the blocks before."""
+def _apply(docs: DataFrame, shared, last: bool, again: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Adds a block's hits (a bit a word, packed) and items to those of the blocks before; the last columns are those to ``keep``."""
+    kept = {c: f"{docs.schema[c].dataType.simpleString()}" for c in keep}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
@@ -207,27 +208,28 @@ def _apply(docs: DataFrame, shared, last: bool, again: bool) -> DataFrame:
             text = {} if last else {"text": batch.column(1)}
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": batch.column(0)} | text | {"hits": pa.array(out_hits, pa.binary()), "items": pa.array(out_items, pa.list_(pa.int64())), "n_words": pa.array(out_words, pa.int64()), "n_hit": pa.array(out_n, pa.int64())}
+                | {c: batch.column(batch.num_columns - len(keep) + k) for k, c in enumerate(keep)}
             )
 
-    return docs.mapInArrow(run, "doc_id long, " + "text binary, " * (not last) + "hits binary, items array<long>, n_words long, n_hit long")
+    return docs.mapInArrow(run, "doc_id long, " + "text binary, " * (not last) + "hits binary, items array<long>, n_words long, n_hit long" + "".join(f", `{c}` {kind}" for c, kind in kept.items()))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, hits (a bit a word, first word in the highest bit of the first byte; null for none), items (sorted ids), n_words, n_hit, contaminated."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, hits (a bit a word, first word in the highest bit of the first byte; null for none), items (sorted ids), n_words, n_hit, the ``keep`` columns, contaminated."""
     spark = docs.sparkSession
     own = ids_and_bytes(docs, id_col, text_col)
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *keep) if keep else own
     bounded_batches(spark)
     distinct = windows(benchmark, window).groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     blocks = max(1, -(-distinct.count() // block))
     part = F.pmod(F.xxhash64("words"), F.lit(blocks))
-    out = own
     for b in range(blocks):
         index = Block(distinct.filter(part == b).collect())  # about ``block`` windows
         count = spark.sparkContext.broadcast(index)
         counts = _count(own, count) if index.text else {}
         count.unpersist()
         index.order(counts)
-        out = _apply(out, spark.sparkContext.broadcast(index), b == blocks - 1, b > 0)
+        out = _apply(out, spark.sparkContext.broadcast(index), b == blocks - 1, b > 0, keep)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 

@@ -67,6 +67,17 @@ def test_repeated_rows_leave_one(spark, folder):
     assert sorted(r.doc_id or 0 for r in got) == [0, 1]
 
 
+def test_rows_are_judged_by_their_own_texts(spark, folder):
+    path, _, bench = folder
+    clean = lambda k: " ".join(f"{k}{i}x" for i in "abcdefghijklmnopqrst")
+    kind = "doc_id long, text string, n int"
+    docs = spark.createDataFrame([(None, bench[0][1], 0), (None, clean("a"), 1), (5, bench[1][1], 2), (5, clean("b"), 3), (6, None, 4)], kind)
+    assert sorted(r.n for r in corpus_pipeline.decontaminate_documents(spark, docs, path).collect()) == [1, 3, 4]
+    docs = spark.createDataFrame([(1, clean("a"), 0), (1, clean("b"), 1), (2, clean("b"), 2), (None, clean("c"), 3), (None, clean("c"), 4), (None, clean("d"), 5), (1, clean("a"), 6)], kind)
+    got = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, path).collect())
+    assert got == [(0, clean("c")), (0, clean("d")), (1, clean("a")), (1, clean("b"))]
+
+
 def test_registered():
     names = set(registry.QUERIES)
     assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11))
