@@ -18,10 +18,27 @@ CHUNK = 1 << 20
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Limit Arrow batches by rows and bytes, so that long texts do not pile up in one."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes, or of one larger row; nothing is copied."""
+    n = batch.num_rows
+    if n > 1 and (n > BATCH_ROWS or batch.nbytes > BATCH_BYTES):
+        yield from slices(batch.slice(0, n // 2))
+        yield from slices(batch.slice(n // 2))
+    elif n:
+        yield batch
+
+
+def batched(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` over bounded parts of the batches, however large the session lets those be."""
+    return df.mapInArrow(lambda batches: run(part for batch in batches for part in slices(batch)), schema)
+
+
+def smaller_batches(spark: SparkSession) -> None:
+    """For queries, not operators: smaller Arrow batches, less memory; a limit that the session has been given stays."""
+    for name, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not spark._jsparkSession.conf().contains(key):
+            spark.conf.set(key, value)
 
 
 def views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,14 +72,13 @@ def texts(column: pa.Array) -> list[bytes]:
 
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """``mapInArrow`` by a function from a batch to a dict of columns, in the order of ``schema``."""
-    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_pydict(each(batch))
 
-    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)
+    return batched(df.toDF(*(f"c{i}" for i in range(len(df.columns)))), run, schema)
 
 
 def ids_and_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import bounded_batches, ids_and_bytes, row_groups, views
+from .arrow import batched, ids_and_bytes, row_groups, views
 from .words import lower, shingles, words
 
 WINDOW, SHINGLE, BLOCK = 13, 5, 200_000
@@ -37,7 +37,6 @@ WINDOW, SHINGLE, BLOCK = 13, 5, 200_000
 
 def windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item_id and words (lower-cased, joined by one space) of every window."""
-    bounded_batches(benchmark.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,7 +58,7 @@ def windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id",
                 yield pa.RecordBatch.from_pydict({"item_id": pa.array(out_id, pa.int64()), "words": pa.array(out, pa.string())})
 
     rows = benchmark.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "item_id long, words string")
+    return batched(rows, run, "item_id long, words string")
 
 
 class Block:
@@ -114,7 +113,6 @@ class Lookup:
 
 def _count(docs: DataFrame, shared) -> dict[tuple[int, int], int]:
     """Occurrences in all documents of each distinct shingle of a block, by (length, index)."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
@@ -134,7 +132,7 @@ def _count(docs: DataFrame, shared) -> dict[tuple[int, int], int]:
             yield pa.RecordBatch.from_pydict({"n": pa.array(np.full(len(k), n, np.int64)), "i": pa.array(k), "count": pa.array(x[k])})
 
     # bounded: one row a shingle of the block, at most BLOCK * WINDOW
-    rows = docs.mapInArrow(run, "n long, i long, count long").groupBy("n", "i").agg(F.sum("count").alias("count")).toArrow().to_pydict()
+    rows = batched(docs, run, "n long, i long, count long").groupBy("n", "i").agg(F.sum("count").alias("count")).toArrow().to_pydict()
     return dict(zip(zip(rows["n"], rows["i"]), rows["count"]))
 
 
@@ -211,7 +209,7 @@ def _apply(docs: DataFrame, shared, last: bool, again: bool, keep: tuple[str, ..
                 | {c: batch.column(batch.num_columns - len(keep) + k) for k, c in enumerate(keep)}
             )
 
-    return docs.mapInArrow(run, "doc_id long, " + "text binary, " * (not last) + "hits binary, items array<long>, n_words long, n_hit long" + "".join(f", `{c}` {kind}" for c, kind in kept.items()))
+    return batched(docs, run, "doc_id long, " + "text binary, " * (not last) + "hits binary, items array<long>, n_words long, n_hit long" + "".join(f", `{c}` {kind}" for c, kind in kept.items()))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -219,7 +217,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     spark = docs.sparkSession
     own = ids_and_bytes(docs, id_col, text_col)
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *keep) if keep else own
-    bounded_batches(spark)
     distinct = windows(benchmark, window).groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     blocks = max(1, -(-distinct.count() // block))
     part = F.pmod(F.xxhash64("words"), F.lit(blocks))

@@ -1,148 +1,237 @@
-"""Main text of web pages: structure first, then a suffix array a host.
+"""Main text of web pages: blocks by structure, boilerplate by a suffix array a host.
 
 ``blocks`` cuts a page at block-level tags into blocks of text, each with a
-role: ``drop`` (menus, headers, footers, sidebars, notices, adverts, forms,
-comments, by element, role, class or id; scripts, styles and other raw content
-never become text), ``main`` (inside article, or else main or role=main), or
-``open``.  Blocks in main are the text of the page.  Where a page has no such
-landmark, its open blocks are judged by what its host repeats: every run of
-``RUN`` words of the host's pages, of all blocks whatever their role, is counted
-by distinct pages over the whole host, and those in ``SHARE`` of them, three at
-least, are boilerplate.  A suffix array over the word streams of the host's
-pages without a landmark brings equal runs together and marks them.  Of an open
-block the words go that a run within it covers; a block that runs cover whole,
-also those that begin or end beside it, goes whole.  Unique words stay.
-
-So structure is a guard: what is in article or main stays even if repeated, and
-on pages that have one repetition decides nothing.
-
-Pages are parsed where they are read, those with a landmark go no further.  The
-others are brought together by host, a host of many such pages in several groups
-by a hash of the page, and a task works through them in windows of at most
-``WINDOW`` words, so no host has to fit into memory; windows and groups have no
-bearing on results, as counts are the host's.  Hosts to split are counted first;
-at most 1,000 can have a thousandth of all pages each, so that list is small
-enough to be broadcast.  Runs are counted by 64-bit hashes.
+role: ``main`` (in an article or main element), ``drop`` (menus, headers,
+footers, sidebars, notices, adverts, forms, reader comments, by element, role,
+class or id), ``open`` (neither) or ``weak`` (in main or open, in an element whose
+name only hints at boilerplate, such as ``related-links``).  Scripts, styles and
+other content that isn't shown never become text.  Text outside main drops where
+a page has main text.
+
+What is boilerplate besides is decided a host: the words outside main of all its
+pages, with and without a landmark, are concatenated, a suffix array over them
+brings equal substrings together, and a run of ``RUN`` words in ``SHARE`` of the
+host's distinct pages, three at least, is boilerplate.  Covered words go: from
+open blocks; from main those that recur in the main text of as many pages, too (a headline
+that a menu repeats stays, and so does a passage that only articles share).  A block that runs
+cover whole, also those that begin or end beside it, goes whole; a weak block
+goes then, or if links hold most of it.  Unique runs stay.
+
+A host of many pages is dealt to several parts, and a part is worked through in
+windows of at most ``WINDOW`` words, so none has to fit into memory.  A run in
+``SHARE`` of a host's pages is in ``SHARE`` of the pages of some window, so each
+window's suffix array gives all candidates; they are then counted exactly over
+the whole host.  Parts and windows have no bearing on results.  Only 32-bit
+hashes of words outside main are shuffled; texts are not.
 
 Null or empty html gives an empty text.  Pages of equal text outside dropped
-blocks count as one, so copies of a page, under other menus too, are no
+blocks count as one, so copies of a page, under other menus too, make no
 boilerplate; repeated rows each get their text; pages without a host are a group
-of their own; other columns are not read.
+of their own; other columns are not read.  A tag whose quotes are never closed
+ends at its first ``>``, as do all tags behind it; a ``<`` that begins no tag is text.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import bounded_batches
+from .arrow import batched
+from .skew import salted_join
 from .storage import cut
 from .url_lists import host
 from .words import shingles
 
 RUN, SHARE, WINDOW, GROUP = 5, 0.3, 400_000, 2_000
-#: Fixed names of HTML.
-RAW = frozenset("script style noscript template textarea iframe svg math object canvas audio video select option title".split())
+#: Hosts of more than a SPLIT-th of all pages are dealt to parts; so there are at most that many.
+SPLIT = 50_000
+_SEEN = 200_000
+#: Fixed names of HTML: content that isn't markup, that isn't shown as text, elements without an end, blocks.
+RAW = frozenset("script style title textarea".split())
+UNSEEN = frozenset("noscript template iframe svg object canvas audio video select annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("nav footer aside form button dialog menu head".split())
+DROPPED = frozenset("nav footer aside button dialog menu head".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-#: Words of class and id that mark boilerplate.
-MARKS = re.compile(
-    r"(?:^|(?<!with)(?<!has)(?<!no)[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|overlay|pagination|paywall|popup|promo|promotion|recommended|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|subscription|toolbar|widget)(?:$|[\s_-])",
-    re.I,
-)
-_HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
-_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMED = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+#: What ends an element that was left open: any block a paragraph, an item the one before it.
+_ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
+_KEEP_P = frozenset("td th button caption object".split())
+#: Words of a class or an id that name boilerplate, that hint at it, and that may stand beside them.
+MARKS = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification notifications overlay pagination pager paywall popup promo promos promotion respond sidebar signup toolbar".split())
+HINTS = frozenset("share sharing social related recommended recommendations replies reply subscribe subscription widget widgets skip".split())
+BESIDE = frozenset("area articles bar block body bottom box button buttons container content fixed footer form global group header holder icons inner item items left link links list main message mobile outer panel post posts primary right secondary section site slot sticky stories text thread top unit wrap wrapper".split())
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*+)>")
+_BEGIN = re.compile(r"</?[A-Za-z]")
+_NAMED = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW | UNSEEN}
+
+
+def _tags(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text before, slash, lower-case name, attributes) of each tag, going forward only; a name of "" is the text at the end."""
+    at = held = 0
+    n, last = len(page), page.rfind(">")
+    pattern, unclosed = _TAG, set()
+    out: list[str] = []
+    while True:
+        i = page.find("<", at)
+        if i < 0:
+            break
+        to = None
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            to = n if end < 0 else end + 3
+        elif page.startswith("<![CDATA[", i):
+            end = page.find("]]>", i)
+            out += (page[held:i], page[i + 9 : n if end < 0 else end])
+            at = held = n if end < 0 else end + 3
+            continue
+        elif i > last:
+            at = i + 1
+            continue
+        elif page[i + 1 : i + 2] in ("!", "?"):
+            to = page.find(">", i) + 1
+        if to is not None:
+            out.append(page[held:i])
+            at = held = to
+            continue
+        m = pattern.match(page, i)
+        if not m and pattern is _TAG and _BEGIN.match(page, i):
+            m = _PLAIN_TAG.match(page, i)
+            if m:
+                pattern = _PLAIN_TAG
+        if not m:
+            at = i + 1
+            continue
+        out.append(page[held:i])
+        at = held = m.end()
+        name = m[2].lower()
+        if not m[1] and name in _END and name not in unclosed and not m[3].rstrip().endswith("/"):
+            end = _END[name].search(page, at)
+            if end or name in RAW:
+                at = held = end.end() if end else n
+                continue
+            unclosed.add(name)
+        yield "".join(out), m[1], name, m[3]
+        out = []
+    yield "".join(out) + page[held:], "", "", ""
+
+
+def _marked(names: str) -> str:
+    """``drop`` or ``weak`` if a class or an id names, or hints at, boilerplate: by its last word, or by the first where the others are names of containers."""
+    weak = ""
+    for name in names.split():
+        parts = [x.lower() for x in _PARTS.findall(name)]
+        if not parts or parts[0] in ("has", "no", "with", "without"):
+            continue
+        lead = parts[0] if all(x in BESIDE for x in parts[1:]) else ""
+        for word in (parts[-1], lead):
+            if word in MARKS:
+                return "drop"
+            if word in HINTS:
+                weak = "weak"
+    return weak
+
+
+def _role(name: str, text: str, outer: str) -> str:
+    """The role of what is in an element; of ``outer``, the roles form and open or main with a hint (weak-open, weak-main) are resolved by ``blocks``."""
+    attrs = {k.lower(): (v or "").strip("\"'") for k, v in _NAMED.findall(text)} if text.strip(" /") else {}
+    role, main = attrs.get("role", "").lower(), outer.endswith("main")
+    mark = _marked(f"{attrs.get('class', '')} {attrs.get('id', '')}") if "class" in attrs or "id" in attrs else ""
+    hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(_HIDDEN.search(attrs.get("style", "")))
+    if name in ("body", "html"):
+        return outer
+    if name in ("article", "main") or role in ("article", "main"):
+        return "drop" if hidden or mark == "drop" and name != "main" else "weak-main" if mark and main else "main"
+    if hidden or name in DROPPED or role in DROPPED_ROLES or mark == "drop" or name == "header" and not main:
+        return "drop"
+    if name == "form":
+        return "drop" if main else "form"
+    if "header" in attrs.get("class", "").lower().split() + [attrs.get("id", "").lower()] and not main:
+        return "drop"
+    return "weak-" + outer if mark and outer in ("main", "open") else outer
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
-    """(role, text) of each block in page order; role is main, open or drop."""
-    out: list[tuple[str, str]] = []
-    stack: list[tuple[str, str]] = []  # name, what it does: drop, article, main or nothing
-    state, held = "open", []
-    at, n = 0, len(page)
+    """(role, text) of each block in page order; role is main, weak, open or drop."""
+    found: list[tuple[str, str, float]] = []
+    stack: list[tuple[str, str]] = []  # name, role
+    there: Counter[str] = Counter()
+    held: list[tuple[str, str, bool]] = []  # role, text, whether in a link
+    role, links = "open", 0
 
     def flush() -> None:
-        if held:
-            text = " ".join(entities.unescape("".join(held)).split())
+        for own in dict.fromkeys(r for r, _, _ in held):
+            text = " ".join(entities.unescape("".join(t for r, t, _ in held if r == own)).split())
             if text:
-                out.append((state, text))
-            held.clear()
-
-    def now() -> str:
-        does = [d for _, d in stack]
-        return "drop" if "drop" in does else "article" if "article" in does else "main" if "main" in does else "open"
-
-    for m in _TAG.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            held.append(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
+                linked = sum(len(t.strip()) for r, t, k in held if r == own and k)
+                found.append((own, text, linked / len(text)))
+        held.clear()
+
+    def close(k: int) -> None:
+        nonlocal role, links
+        for name, _ in stack[k:]:
+            there[name] -= 1
+        links = there["a"]
+        del stack[k:]
+        role = stack[-1][1] if stack else "open"
+
+    def end(names, until) -> None:
+        k = len(stack) - 1
+        while k >= 0 and stack[k][0] not in names and stack[k][0] not in until:
+            k -= 1
+        if k >= 0 and stack[k][0] in names:
+            close(k)
+
+    for text, slash, name, rest in _tags(page):
+        if text:
+            held.append((role, text, links > 0))
         if not name:
-            if m[0].startswith("<![CDATA["):
-                held.append(m[0][9:-3])
-            continue
+            break
         if name == "br":
-            held.append(" ")
+            held.append((role, " ", False))
         if name in BLOCK:
             flush()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-            if name in BLOCK:
-                state = now()
-            else:
-                new = now()
-                if new != state:
-                    flush()
-                    state = new
-            continue
-        if name in RAW and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+        if slash:
+            if there[name] > 0:
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                close(k)
             continue
-        if name in VOID or m[3].rstrip().endswith("/"):
+        if name in VOID or rest.rstrip().endswith("/"):
             continue
-        if name == "p" and any(x == "p" for x, _ in stack[-1:]):
-            stack.pop()
-        attrs = {k.lower(): v.strip("\"'") for k, v in _NAMED.findall(m[3])} if "=" in m[3] else {}
-        does = ""
-        marked = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-        inside = any(d in ("article", "main") for _, d in stack)
-        role = attrs.get("role", "").lower()
-        if name in ("article", "main", "body", "html"):
-            does = {"article": "article", "main": "main"}.get(name, "")
-            if name == "article" and MARKS.search(marked):
-                does = "drop"
-        elif name in DROPPED or role in DROPPED_ROLES or not inside and (name == "header" or _HEADER.search(marked)) or MARKS.search(marked) or attrs.get("aria-hidden") == "true" or _UNSEEN.search(attrs.get("style", "")) or re.search(r"(?<![\w-])hidden(?![\w-])", _NAMED.sub("", m[3])):
-            does = "drop"
-        elif role in ("main", "article"):
-            does = role
-        stack.append((name, does))
-        new = now()
-        if new != state:
-            flush()
-            state = new
-    if at < n:
-        held.append(page[at:])
+        if name in BLOCK and there["p"] > 0:
+            end(("p",), _KEEP_P)
+        if name in _ENDS and any(there[x] > 0 for x in _ENDS[name][0]):
+            end(*_ENDS[name])
+        role = "drop" if role == "drop" else _role(name, rest, role)
+        stack.append((name, role))
+        there[name] += 1
+        links = there["a"]
     flush()
-    roles = {r for r, _ in out}
-    best = "article" if "article" in roles else "main" if "main" in roles else None
-    return [("main" if r == best else "drop" if r == "drop" or best else "open", t) for r, t in out]
+    main = any(r.endswith("main") for r, _, _ in found)
+    wrapped = not main and not any(r.endswith("open") for r, _, _ in found)  # a page that is a form as a whole
+    out = []
+    for r, text, linked in found:
+        if r == "form" and wrapped:
+            r = "open"
+        if r.startswith("weak-"):
+            r = "drop" if linked >= 0.5 or main != r.endswith("main") else "weak"
+        out.append((r if r in ("main", "weak") or r == "open" and not main else "drop", text))
+    return out
 
 
 def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -180,20 +269,22 @@ def common_prefixes(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _suffixes(streams: list[list], run: int) -> tuple[list[int], list[list], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the streams: which distinct one each is, the distinct ones, where they begin and whose each place is, all suffixes in order, and their groups by the first ``run`` words."""
-    place: dict[tuple, int] = {}
-    which = [place.setdefault(tuple(s), len(place)) for s in streams]
-    distinct = list(place)
-    ids: dict = {}
-    flat, page = [], []
-    for p, s in enumerate(distinct):
-        flat += [ids.setdefault(x, len(ids)) for x in s] + [-1 - p]
-        page += [p] * (len(s) + 1)
-    order, levels = suffix_array(np.array(flat, np.int64))
-    group = np.cumsum(common_prefixes(order, levels) < run)
-    begin = np.concatenate([[0], np.cumsum([len(s) + 1 for s in distinct])])
-    return which, distinct, begin, np.array(page, np.int64), order, group
+def repeated(streams: list[np.ndarray], run: int = RUN, share: float = SHARE) -> np.ndarray:
+    """Hashes (sorted) of the runs that occur in ``share`` or more of the streams of word hashes; 0 is a gap that no run crosses."""
+    flat = np.concatenate([np.concatenate([s, [0]]) for s in streams]).astype(np.int64) if streams else np.zeros(0, np.int64)
+    page = np.repeat(np.arange(len(streams)), [len(s) + 1 for s in streams])
+    gap = np.flatnonzero(flat == 0)
+    apart = flat.copy()
+    apart[gap] = -1 - np.arange(len(gap))
+    order, levels = suffix_array(apart)
+    group = np.cumsum(common_prefixes(order, levels) < run) - 1
+    pairs = np.unique(group * len(streams) + page[order])
+    pages = np.bincount(pairs // max(1, len(streams)), minlength=group[-1] + 1 if len(group) else 0)
+    head = order[np.flatnonzero(np.diff(group, prepend=-1))]
+    room = np.diff(np.searchsorted(gap, np.stack([head, head + run]), side="left"), axis=0)[0] == 0 if len(head) else np.zeros(0, bool)
+    head = head[room & (pages >= share * len(streams)) & (head + run <= len(flat))]
+    keys = shingles(np.concatenate([flat, np.zeros(run, np.int64)]).astype(np.uint64), run)
+    return np.unique(keys[head].astype(np.int64))
 
 
 def _covered(starts: np.ndarray, run: int, n: int) -> np.ndarray:
@@ -204,158 +295,166 @@ def _covered(starts: np.ndarray, run: int, n: int) -> np.ndarray:
     return np.cumsum(cover)[:n] > 0
 
 
-def repeated(streams: list[list[str]], run: int = RUN, share: float = SHARE) -> list[np.ndarray]:
-    """For each stream, which of its words are covered by runs that recur in enough distinct streams."""
-    which, distinct, begin, page, order, group = _suffixes(streams, run)
-    least = max(3, int(np.ceil(share * len(distinct))))
-    if len(distinct) < least:
-        return [np.zeros(len(s), bool) for s in streams]
-    pairs = np.unique(group * len(distinct) + page[order])
-    pages = np.bincount(pairs // len(distinct), minlength=group[-1] + 1)
-    covered = _covered(order[pages[group] >= least], run, len(page))
-    return [covered[begin[w] : begin[w] + len(s)] for w, s in zip(which, streams)]
+def _keys(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """32-bit hashes of words, alike in every process, never 0."""
+    if len(known) > _SEEN:
+        known.clear()
+    return np.array([known.get(x) or known.setdefault(x, zlib.crc32(x.encode("utf-8", "replace")) or 1) for x in words], np.uint64)
 
 
-def _keys(stream: list[str], known: dict[str, int]) -> np.ndarray:
-    """64-bit hashes of words, alike in every process."""
-    return np.array([known.get(x) or known.setdefault(x, int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little")) for x in stream], np.uint64)
+def _segments(found: list[tuple[str, str]]) -> Iterator[tuple[bool, list[tuple[str, str]]]]:
+    """Stretches of blocks in main text (True), and outside it."""
+    for main, own in groupby(found, lambda x: x[0] == "main"):
+        yield main, list(own)
 
 
-def _judge(rows: list[tuple], recurring: np.ndarray, run: int = RUN) -> list[str]:
-    """Texts of a window of pages (roles, block texts) of one host whose ``recurring`` runs (sorted hashes) are given.
+def _outside(found: list[tuple[str, str]], known: dict[str, int]) -> np.ndarray:
+    """The hashes of the words outside main, with a gap where main text lies between."""
+    parts = [_keys([w for _, t in own for w in t.split()], known) for main, own in _segments(found) if not main]
+    return np.concatenate([x for p in parts for x in (np.zeros(1, np.uint64), p)][1:]) if parts else np.zeros(0, np.uint64)
 
-    The suffix array brings equal runs of the window together; each is looked up once.
-    """
-    split = [[x.split() for x in texts] for _, texts in rows]
-    streams = [[w for x in s for w in x] for s in split]
-    which, distinct, begin, _, order, group = _suffixes(streams, run)
-    starts = np.zeros(begin[-1], bool)
-    known: dict[str, int] = {}
-    if len(recurring) and len(order):
-        flat = np.zeros(begin[-1] + run, np.uint64)
-        for b, s in zip(begin, distinct):
-            flat[b : b + len(s)] = _keys(list(s), known)
-        inside = np.zeros(len(flat), bool)  # a run from here ends within its page
-        for b, s in zip(begin, distinct):
-            inside[b : b + max(0, len(s) - run + 1)] = True
-        head = order[np.flatnonzero(np.diff(group, prepend=-1))]
-        found = np.isin(shingles(flat, run)[head].astype(np.int64), recurring) & inside[head]
-        starts[order[found[group - group[0]]]] = True
-    out = []
-    for w, (roles, texts), s in zip(which, rows, split):
-        block = np.repeat(np.arange(len(s)), [len(x) for x in s])
-        at = np.flatnonzero(starts[begin[w] : begin[w] + len(block)])
-        anywhere = _covered(at, run, len(block))
-        within = _covered(at[block[at] == block[at + run - 1]], run, len(block))
-        first, keep = 0, []
-        for role, text, words in zip(roles, texts, s):
-            own = slice(first, first + len(words))
-            first += len(words)
-            if role != "open" or anywhere[own].all():
-                continue
-            gone = within[own]
-            keep.append(" ".join(x for x, g in zip(words, gone) if not g) if gone.any() else text)
-        out.append("\n".join(keep))
-    return out
 
+def _runs(words: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Where a run starts that is in ``among`` (sorted hashes)."""
+    return np.flatnonzero(np.isin(shingles(words, RUN).astype(np.int64), among)) if len(among) and len(words) >= RUN else np.zeros(0, np.int64)
 
-def _found(page: bytes | None) -> tuple[list[tuple[str, str]], str | None, int]:
-    """A page's blocks, its text if structure alone gives it, and the hash of its text outside dropped blocks."""
-    found = blocks((page or b"").decode("utf-8", "replace"))
-    main = [t for r, t in found if r == "main"]
-    text = "\n".join(main) if main else None if any(r == "open" for r, _ in found) else ""
-    own = "\n".join(t for r, t in found if r != "drop")
-    return found, text, int.from_bytes(blake2b(own.encode(), digest_size=8).digest(), "little", signed=True)
 
+def _text(found: list[tuple[str, str]], outside: np.ndarray, inside: np.ndarray, known: dict[str, int]) -> str:
+    """The text of a page's blocks, where runs ``outside`` main and ``inside`` it (sorted hashes) are boilerplate."""
+    if not len(outside):
+        return "\n".join(t for r, t in found if r != "drop")
+    keep = []
+    for main, own in _segments(found):
+        split = [t.split() for _, t in own]
+        block = np.repeat(np.arange(len(own)), [len(x) for x in split])
+        at = _runs(_keys([w for x in split for w in x], known), inside if main else outside)
+        anywhere = _covered(at, RUN, len(block))
+        within = _covered(at[block[at] == block[at + RUN - 1]], RUN, len(block))
+        first = 0
+        for (role, text), words in zip(own, split):
+            place = slice(first, first + len(words))
+            first += len(words)
+            if role == "drop" or anywhere[place].all():
+                continue
+            gone = within[place]
+            keep.append(" ".join(x for x, g in zip(words, gone) if not g) if role != "weak" and gone.any() else text)
+    return "\n".join(keep)
 
-def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        got = [_found(x)[1:] for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v for _, v in got], pa.int64()), pa.array([t is None for t, _ in got], pa.bool_())], names=["host", "vote", "judged"])
 
+def _hash(data: bytes) -> int:
+    return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs of each page, of all its blocks, whatever their role."""
-    for batch in batches:
-        votes, runs, known = [], [], {}
-        for page in batch.column(1).to_pylist():
-            found, _, vote = _found(page)
-            key = _keys([w for _, t in found for w in t.split()], known)
-            votes.append(vote)
-            runs.append(np.unique(shingles(key, RUN).astype(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.int64()), pa.array(runs, pa.list_(pa.int64()))], names=["host", "vote", "runs"])
 
+def _parse(page: bytes | None) -> list[tuple[str, str]]:
+    return blocks((page or b"").decode("utf-8", "replace"))
 
-def _direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        text = pa.array([_found(x)[1] for x in batch.column(2).to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text], names=["page_id", "url", "text"]).filter(text.is_valid())
+
+def _vote(found: list[tuple[str, str]]) -> int:
+    return _hash("\n".join(t for r, t in found if r != "drop").encode("utf-8", "replace"))
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    strings = pa.list_(pa.string())
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, parts, vote and words of each page; of equal ones in a task one, as far as memory of them goes."""
+    known: dict[str, int] = {}
+    seen: set[tuple] = set()
     for batch in batches:
-        kept, roles, texts = [], [], []
-        for k, page in enumerate(batch.column(4).to_pylist()):
-            found, text, _ = _found(page)
-            if text is None:
-                kept.append(k)
-                roles.append([r for r, _ in found])
-                texts.append([t for _, t in found])
-        rows = batch.take(pa.array(kept, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(4)), pa.array(roles, strings), pa.array(texts, strings)], names=["page_id", "url", "host", "part", "roles", "texts"])
+        at, votes, words = [], [], []
+        for k, (host_, page) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+            found = _parse(page)
+            vote, own = _vote(found), _outside(found, known).astype("<u4").tobytes()
+            key = (host_, vote, _hash(own))
+            if key not in seen:
+                if len(seen) > _SEEN:
+                    seen.clear()
+                seen.add(key)
+                at.append(k), votes.append(vote), words.append(own)
+        rows = batch.take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(votes, pa.int64()), pa.array(words, pa.binary())], names=["host", "parts", "vote", "words"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    key, size, recurring = None, 0, np.zeros(0, np.int64)
+    """host and run: what a window's suffix array finds often enough to be often enough in the host; the first page of a vote counts."""
+    held: list[np.ndarray] = []
+    key, vote, size = None, None, 0
 
     def done() -> pa.RecordBatch:
-        out = _judge([x[2:] for x in held], recurring)
-        return pa.RecordBatch.from_pydict({"page_id": pa.array([x[0] for x in held], pa.int64()), "url": pa.array([x[1] for x in held], pa.string()), "text": pa.array(out, pa.string())})
+        runs = repeated(held)
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(runs), pa.string()), pa.array(runs)], names=["host", "run"])
 
     for batch in batches:
-        for k, (page, url, host_, part, roles, texts) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(6)))):
-            words = sum(x.count(" ") + 1 for x in texts) + 1
-            if held and ((host_, part) != key or size + words > WINDOW):
+        for host_, part, vote_, words in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if (host_, part, vote_) == (key and key[0], key and key[1], vote):
+                continue
+            own = np.frombuffer(words, "<u4")
+            if held and ((host_, part) != key or size + len(own) > WINDOW):
                 yield done()
                 held, size = [], 0
-            if (host_, part) != key:
-                key, recurring = (host_, part), batch.column(6)[k].values
-                recurring = np.zeros(0, np.int64) if recurring is None else np.sort(recurring.to_numpy())
-            held.append((page, url, roles, texts))
-            size += words
+            key, vote = (host_, part), vote_
+            held.append(own)
+            size += len(own) + 1
     if held:
         yield done()
 
 
-def recurring_runs(own: DataFrame, seen: DataFrame) -> DataFrame:
-    """host and runs, the hashes of those in ``SHARE`` of its distinct pages, three at least; hosts where no page is judged are left out."""
-    hosts = seen.groupBy("host").agg(F.max("judged").alias("judged"), F.countDistinct("vote").alias("pages"))
-    hosts = hosts.filter("judged AND pages >= 3").select("host", F.greatest(F.lit(3), F.ceil(F.col("pages") * F.lit(SHARE))).alias("least"))
-    each = own.join(hosts, "host", "left_semi").select("host", "html").mapInArrow(_runs, "host string, vote long, runs array<long>")
-    distinct = each.select("host", "vote", F.explode("runs").alias("run")).distinct()
-    often = distinct.groupBy("host", "run").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
-    return often.join(hosts, "host").filter("n >= least").groupBy("host").agg(F.collect_list("run").alias("runs"))
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, vote, outside and inside: which of the host's candidates a page has outside main, and in it."""
+    known: dict[str, int] = {}
+    for batch in batches:
+        votes, outside, inside = [], [], []
+        lists = batch.column(2)
+        for k, page in enumerate(batch.column(1).to_pylist()):
+            found, among = _parse(page), np.sort(lists[k].values.to_numpy())
+            got: dict[bool, list] = {True: [], False: []}
+            for main, own in _segments(found):
+                words = _keys([w for _, t in own for w in t.split()], known)
+                at = _runs(words, among)
+                got[main].append(shingles(words, RUN).astype(np.int64)[at] if len(at) else np.zeros(0, np.int64))
+            votes.append(_vote(found))
+            for main, out in ((False, outside), (True, inside)):
+                out.append(np.unique(np.concatenate(got[main])) if got[main] else np.zeros(0, np.int64))
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.int64()), pa.array(outside, kind), pa.array(inside, kind)], names=["host", "vote", "outside", "inside"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, int] = {}
+    none = np.zeros(0, np.int64)
+    for batch in batches:
+        out = []
+        for page, outside, inside in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+            a, b = (none if x.values is None else np.sort(x.values.to_numpy()) for x in (outside, inside))
+            out.append(_text(_parse(page), a, b, known))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+
+
+def recurring_runs(own: DataFrame, hosts: DataFrame, group: int = GROUP) -> DataFrame:
+    """host, n (its pages), outside and inside: the hashes of the runs that are boilerplate there, of hosts that have any."""
+    total = hosts.agg(F.sum("n").alias("n")).first().n or 0
+    large = hosts.filter(F.col("n") > max(group, total // SPLIT)).select("host", F.ceil(F.col("n") / group).alias("parts"))
+    dealt = own.join(F.broadcast(large), "host", "left").select("host", F.coalesce("parts", F.lit(1)).alias("parts"), "html")  # SPLIT rows at most
+    streams = batched(dealt, _streams, "host string, parts long, vote long, words binary")
+    placed = streams.select("host", F.pmod("vote", "parts").alias("part"), "vote", "words").repartition("host", "part").sortWithinPartitions("host", "part", "vote", "words")
+    candidates = cut(batched(placed, _windows, "host string, run long").distinct().groupBy("host").agg(F.collect_list("run").alias("runs")))
+    if candidates.isEmpty():
+        return hosts.limit(0).select("host", "n", *(F.expr("CAST(null AS array<long>)").alias(c) for c in ("outside", "inside")))
+    wanted = salted_join(own.select("host", "html"), candidates.join(hosts, "host"), ["host"], "n", F.xxhash64("html")).select("host", "html", "runs")
+    seen = cut(batched(wanted, _tally, "host string, vote long, outside array<long>, inside array<long>"))
+    pages = seen.groupBy("host").agg(F.countDistinct("vote").alias("pages")).filter("pages >= 3")
+    least = pages.select("host", F.greatest(F.lit(3), F.ceil(F.col("pages") * F.lit(SHARE))).alias("least"))
+
+    def often(side: str) -> DataFrame:
+        each = seen.select("host", "vote", F.explode(side).alias("run")).distinct().groupBy("host", "run").agg(F.count(F.lit(1)).alias("k"))
+        return each.join(least, "host").filter("k >= least").select("host", "run")
+
+    outside = cut(often("outside"))
+    both = often("inside").join(outside, ["host", "run"], "left_semi").groupBy("host").agg(F.collect_list("run").alias("inside"))
+    return outside.groupBy("host").agg(F.collect_list("run").alias("outside")).join(both, "host", "left").join(hosts, "host").select("host", "n", "outside", "inside")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = GROUP) -> DataFrame:
-    """page_id, url and text of every page."""
-    spark = pages.sparkSession
-    bounded_batches(spark)
+    """page_id, url and text of every page; ``group`` is about how many pages a part of a large host has."""
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("binary").alias("html")).withColumn("host", F.coalesce(host(F.col("url")), F.lit("")))
-    direct = own.select("page_id", "url", "html").mapInArrow(_direct, "page_id long, url string, text string")
-    seen = cut(own.select("host", "html").mapInArrow(_look, "host string, vote long, judged boolean"))
-    judged = seen.filter("judged")
-    total = judged.count()
-    if not total:
-        return direct
-    large = judged.groupBy("host").count().filter(F.col("count") > max(group, total // 1000)).select(F.col("host"), F.ceil(F.col("count") / group).alias("parts"))
-    large = F.broadcast(large)  # at most 1,000 rows: each host has over a thousandth of all judged pages
-    placed = own.join(judged.select("host").distinct(), "host", "left_semi").join(large, "host", "left")
-    part = F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("parts")), F.lit(0)).cast("long")
-    parsed = placed.select("page_id", "url", "host", part.alias("part"), "html").mapInArrow(_parse, "page_id long, url string, host string, part long, roles array<string>, texts array<string>")
-    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))
-    runs = cut(recurring_runs(own, seen)).join(large, "host", "left").select("host", parts.alias("part"), "runs")
-    met = parsed.repartition("host", "part").join(runs, ["host", "part"], "left").select("page_id", "url", "host", "part", "roles", "texts", "runs")
-    return direct.unionByName(met.sortWithinPartitions("host", "part", "page_id").mapInArrow(_windows, "page_id long, url string, text string"))
+    hosts = own.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    runs = cut(recurring_runs(own.select("host", "html"), hosts, group))
+    met = salted_join(own, runs, ["host"], "n", F.xxhash64("page_id", "url"), "left").select("page_id", "url", "html", "outside", "inside")
+    return batched(met, _texts, "page_id long, url string, text string")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import bounded_batches, map_batches, row_groups, views
+from .arrow import batched, map_batches, row_groups, views
 
 TRAIN_ROWS = 20_000
 BUCKETS = 1 << 16
@@ -190,7 +190,6 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     there = own.agg(F.count(F.lit(1)).alias("n")).first().n
     if there > rows:
         own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * rows / there))
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -215,7 +214,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             k = np.flatnonzero(c)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(k), pa.string()), "bucket": pa.array(k), "n": pa.array(c[k])})
 
-    got = own.select("text", "lang").mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = batched(own.select("text", "lang"), run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
     counts = np.zeros((BUCKETS + 8, max(1, len(langs))))
     place = {x: i for i, x in enumerate(langs)}

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrow import bounded_batches, ids_and_bytes, row_groups, views
+from .arrow import batched, ids_and_bytes, row_groups, views
 from .storage import cut, remove
 from .words import mix, row_shingles, words
 
@@ -89,7 +89,6 @@ def weights(shingle: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 def document_frequencies(own: DataFrame) -> np.ndarray:
     """The sketch's rows, each the sums of df by bucket with N after them; SKETCHES * BUCKETS numbers reach the driver, in pieces."""
-    bounded_batches(own.sparkSession)
     width = BUCKETS + PIECE  # N has a piece of its own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +110,7 @@ def document_frequencies(own: DataFrame) -> np.ndarray:
             sums += np.frombuffer(x.as_buffer(), np.int64)
         return pa.table({"piece": table.column("piece")[:1], "sums": pa.array([sums.tobytes()], pa.binary())})
 
-    got = own.mapInArrow(run, "piece int, sums binary").groupBy("piece").applyInArrow(add, "piece int, sums binary").toArrow()
+    got = batched(own, run, "piece int, sums binary").groupBy("piece").applyInArrow(add, "piece int, sums binary").toArrow()
     out = np.zeros((SKETCHES, width), np.int64)
     for k, x in zip(got.column("piece").to_pylist(), got.column("sums").to_pylist()):
         out.reshape(-1, PIECE)[k] = np.frombuffer(x, np.int64)
@@ -172,7 +171,6 @@ def bands(sample: np.ndarray) -> np.ndarray:
 
 def _signatures(own: DataFrame, idf: Broadcast) -> DataFrame:
     """doc_id, c1 and c2 (content), bands (null for texts without words)."""
-    bounded_batches(own.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,12 +186,11 @@ def _signatures(own: DataFrame, idf: Broadcast) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(size), pa.array(key.reshape(-1)), mask=pa.array(~some))
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "c1": pa.array(c1.astype(np.int64)), "c2": pa.array(c2.astype(np.int64)), "bands": lists})
 
-    return own.mapInArrow(run, "doc_id long, c1 long, c2 long, bands array<long>")
+    return batched(own, run, "doc_id long, c1 long, c2 long, bands array<long>")
 
 
 def _similarities(pairs: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFrame:
     """a, b and the weighted Jaccard similarity of their texts (node, text)."""
-    bounded_batches(pairs.sparkSession)
     one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     two = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
@@ -216,7 +213,7 @@ def _similarities(pairs: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFra
             if out:
                 yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1), "similarity": pa.array(np.concatenate(out))})
 
-    return two.mapInArrow(run, "a long, b long, similarity double")
+    return batched(two, run, "a long, b long, similarity double")
 
 
 def components(edges: DataFrame, paths: list[str]) -> DataFrame:
@@ -298,7 +295,6 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
 
 def _able(texts: DataFrame, idf: Broadcast, threshold: float, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """node, weight (its total), lone and rare (the shares of it in shingles that no other text has, and one other at most), where lone leaves room for the threshold; and (a, b), those that are each other's only ones for some shingle."""
-    bounded_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,7 +306,7 @@ def _able(texts: DataFrame, idf: Broadcast, threshold: float, paths: list[str])
                 total = np.bincount(of, weight, j - i)
                 yield pa.RecordBatch.from_pydict({"shingle": pa.array(shingle.astype(np.int64)), "node": pa.array(node[i:j][of]), "share": pa.array(weight / total[of]), "weight": pa.array(total[of])})
 
-    rows = texts.select("node", "text").mapInArrow(run, "shingle long, node long, share double, weight double")
+    rows = batched(texts.select("node", "text"), run, "shingle long, node long, share double, weight double")
     ends = rows.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.min_by("share", "node").alias("a_share"), F.max_by("share", "node").alias("b_share"), F.count(F.lit(1)).alias("n"))
     few = cut(ends.filter("a = b OR n = 2").drop("shingle", "n"), paths)
     one = few.filter("a = b").select(F.col("a").alias("node"), F.col("a_share").alias("lone"), F.col("a_share").alias("rare"))
@@ -328,7 +324,7 @@ def _able(texts: DataFrame, idf: Broadcast, threshold: float, paths: list[str])
             if parts:
                 yield pa.RecordBatch.from_pydict({"node": batch.column(0), "weight": pa.array(np.concatenate(parts))})
 
-    total = texts.select("node", "text").mapInArrow(sizes, "node long, weight double").groupBy("node").agg(F.max("weight").alias("weight"))
+    total = batched(texts.select("node", "text"), sizes, "node long, weight double").groupBy("node").agg(F.max("weight").alias("weight"))
     able = total.join(lone, "node", "left").select("node", "weight", F.coalesce("lone", F.lit(0.0)).alias("lone"), F.coalesce("rare", F.lit(0.0)).alias("rare"))
     return cut(able.filter(F.col("lone") <= 1 - threshold + 1e-9), paths), cut(few.filter("a <> b").select("a", "b").distinct(), paths)
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import bounded_batches, ids_and_bytes, texts
+from .arrow import batched, ids_and_bytes, texts
 from .bpe import share
 
 CAPACITY, POOL, PAD = 2048, 2_000_000, 0
@@ -120,7 +120,6 @@ _held: dict[str, tiktoken.Encoding] = {}
 
 def pack(df: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, pool: int = POOL, pad: int = PAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packed rows of all texts; (shard, row) tells rows apart, a shard being a pool of a task."""
-    bounded_batches(df.sparkSession)
     shared = share(df.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +141,7 @@ def pack(df: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, pool:
         if pieces:
             yield _pack(pieces, capacity, shard, pad)
 
-    return ids_and_bytes(df, id_col, text_col).mapInArrow(run, "shard long, row long, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<long>, offsets array<long>")
+    return batched(ids_and_bytes(df, id_col, text_col), run, "shard long, row long, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<long>, offsets array<long>")
 
 
 def unpack(packed: DataFrame) -> DataFrame:

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, html_text, language, lines, media, near_dup, packing, secrets, url_lists
+from .arrow import smaller_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    smaller_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,7 +1,6 @@
 """Decontamination, secrets, near-duplicates, line dedup, language, HTML and URL lists, against brute force."""
 
 import hashlib
-import html
 import itertools
 import random
 import re
@@ -11,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairweave.llm import decontaminate, html_text, language, lines, near_dup, secrets, storage, url_lists, words
+from pairweave.llm import decontaminate, language, lines, near_dup, secrets, storage, url_lists, words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -318,116 +317,6 @@ def test_language_is_learned_from_its_share_only(labelled):
     assert small.langs == a.langs and not (small.log == a.log).all()
 
 
-# html
-
-
-def test_suffix_array():
-    r = random.Random(3)
-    for _ in range(100):
-        t = [r.randint(0, 2) for _ in range(r.randint(1, 40))]
-        order, levels = html_text.suffix_array(np.array(t))
-        want = sorted(range(len(t)), key=lambda i: t[i:])
-        assert order.tolist() == want
-
-        def shared(i, j):
-            k = 0
-            while i + k < len(t) and j + k < len(t) and t[i + k] == t[j + k]:
-                k += 1
-            return k
-
-        assert html_text.common_prefixes(order, levels).tolist() == [0] + [shared(a, b) for a, b in zip(want, want[1:])]
-
-
-def test_repeated_runs_by_brute_force():
-    r = random.Random(9)
-    for _ in range(60):
-        streams = [[r.choice("abcd") for _ in range(r.randint(0, 25))] for _ in range(r.randint(1, 8))]
-        got = html_text.repeated(streams, run=3, share=0.3)
-        distinct = set(map(tuple, streams))
-        least = max(3, -(-3 * len(distinct) // 10))
-        for s, g in zip(streams, got):
-            want = [False] * len(s)
-            for i in range(len(s) - 2):
-                w = tuple(s[i : i + 3])
-                if sum(any(d[j : j + 3] == w for j in range(len(d))) for d in distinct) >= least:
-                    want[i : i + 3] = [True] * 3
-            assert g.tolist() == want
-
-
-PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t="</p>";</script></head><body>
-<header>Top</header><nav><a href="/a">A</a></nav><div class="cookie-notice">We use cookies</div><!-- c --><div class="ad">Buy</div>
-<main><article><header><h1>Title &amp; more</h1></header><p>One<br>two  <b>th</b>ree\n four<p>five &copy; &#233;<script>x()</script> six
-<ul><li>i1<li>i2</ul><aside>no</aside><form><input value="a>b">f</form><div id="comments"><p>bad</p></div><p>last</p></article><div class="sidebar">side</div></main><footer>foot</footer></body></html>"""
-
-
-@pytest.mark.parametrize(
-    "page,main",
-    [
-        ('<div class="site-header">S</div><div class="content has-sidebar"><article class="post"><div class="post-header"><h1>T</h1></div><p hidden>x</p><p style="display: none">y</p><p>ok</p><div class="post-comments">c</div><section class="comments"><article class="comment"><p>z</p></article></section></article><div class="sidebar">no</div></div>', ["T", "ok"]),
-        ('<main><h1>A</h1><p>b</p><div class="share-bar">s</div><div id="notice">n</div></main><p>out', ["A", "b"]),
-        ('<article><p>x<article class="related">r</article></p>tail</article>', ["x", "tail"]),
-        ("<article><p>a &lt;b&gt; <!-- <p>no</p> --> c<![CDATA[ d ]]></p><template><p>t</p></template><p>1 < 2 and 3 > 2</p></article>", ["a <b> c d", "1 < 2 and 3 > 2"]),
-        ("<article><p>cut off <b>here", ["cut off here"]),
-        ("<article><script>unclosed", []),
-    ],
-)
-def test_blocks(page, main):
-    assert [t for r, t in html_text.blocks(page) if r == "main"] == main
-
-
-def test_extraction(spark):
-    head, foot = "Welcome to our fine site today", "All rights reserved by the owner 2024"
-    plain = [(10 + i, f"http://h.example/{i}", f"<body><div>{head}</div><p>unique text {i} {' '.join(f'w{i}_{k}' for k in range(30))}</p><div>{foot}</div></body>") for i in range(12)]
-    rows = [(0, "http://x.example/", PAGE), (1, None, None), (2, "http://x.example/", ""), (3, "no url", "just text &lt; here"), (4, "http://x.example/", "<p>unclosed <b>tag"), (5, "http://x.example/", "<article></article><p>out</p>"), (6, "http://x.example/", "<article><p>" + "word " * 50000 + "</p></article>"), (0, "http://x.example/", PAGE)]
-    df = spark.createDataFrame([(*x, "t", 1) for x in rows + plain], "page_id long, url string, html string, text string, host int")
-    got = html_text.extract(df).collect()
-    assert len(got) == len(rows) + len(plain)
-    by = {r.page_id: r.text for r in got}
-    assert by[0] == "Title & more\nOne two three four\nfive © é six\ni1\ni2\nlast"
-    assert by[1] == by[2] == "" and by[3] == "just text < here" and by[4] == "unclosed tag" and len(by[6]) == 249999
-    for i in range(12):
-        assert by[10 + i].startswith(f"unique text {i} ") and head not in by[10 + i] and foot not in by[10 + i]
-    assert html_text.extract(df.limit(0)).count() == 0
-    split = {r.page_id: r.text for r in html_text.extract(df, group=4).collect()}
-    assert {k: v for k, v in split.items() if k < 10} == {k: v for k, v in by.items() if k < 10}
-
-
-def plain_page(i, head, foot, n=30, menu=""):
-    return f"<body>{menu}<div>{head}</div><p>unique text {i} {' '.join(f'w{i}_{k}' for k in range(n))}</p><div>{foot}</div></body>"
-
-
-def test_repetition_is_counted_over_the_whole_host(spark, monkeypatch):
-    head, foot = "Welcome to our fine site today", "All rights reserved by the owner 2024"
-    rows = [(i, "http://h.example/", plain_page(i, head, foot)) for i in range(40)] + [(99, "http://h.example/", plain_page(99, head, foot, html_text.WINDOW))]
-    # pages with a landmark are counted too, whatever the role of the block
-    rows += [(200 + i, "http://m.example/", f"<footer>{foot}</footer><article>text {i}</article>") for i in range(3)] + [(210, "http://m.example/", f"<p>open text</p><div>{foot}</div>")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    want = {i: h[h.index("<p>") + 3 : h.index("</p>")] for i, _, h in rows if i < 100} | {200: "text 0", 201: "text 1", 202: "text 2", 210: "open text"}
-    for group in (2000, 7, 1):
-        assert {r.page_id: r.text for r in html_text.extract(df, group=group).collect()} == want
-
-
-def test_unique_words_stay_and_copies_do_not_vote(spark):
-    foot = "All rights reserved by the owner 2024"
-    other = lambda i: " ".join(f"v{i}_{k}" for k in range(12))
-    rows = [(i, "http://h.example/", f"<p>{other(i)}</p><div>{foot} s{i} t{i}</div><div>{foot} " + " ".join(f"x{i}_{k}" for k in range(40)) + "</div>") for i in range(6)]
-    rows += [(20 + i, "http://h.example/", f"<nav>menu {other(50 + i)}</nav><p>one copied article that is on many pages of the host</p>") for i in range(8)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
-    for i in range(6):
-        assert got[i] == f"{other(i)}\ns{i} t{i}\n" + " ".join(f"x{i}_{k}" for k in range(40))
-    assert {got[20 + i] for i in range(8)} == {"one copied article that is on many pages of the host"}
-
-
-def test_extraction_of_the_test_pages(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
-    for r in pages.collect():
-        inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
-        parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:h1|p)>", inner)]
-        assert got[r.page_id] == "\n".join(x for x in parts if x)
-
-
 # url lists
 
 
