@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairweave.llm import bpe, decontaminate, language, lines, near_dup
+from pairweave.llm.arrow import smaller_batches
 from pairweave.llm.registry import VOCABULARY, table
 from pairweave.llm.storage import cut
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    smaller_batches(spark)
     rows = docs.select("text", F.struct(*docs.columns).alias("row"))
     return language.identify(rows, language.train(docs), keep=("row",)).filter(F.col("lang_pred") != language.UNKNOWN).select("row.*")
 
@@ -46,6 +48,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    smaller_batches(spark)
     key = max(docs.columns, key=len) + "_row"
     keyed = cut(docs.withColumn(key, F.monotonically_increasing_id()))  # written, so that each row keeps its key
     of = near_dup.classes(keyed, id_col=key).select(F.col("doc_id").alias("k"), F.col("class_id").alias("c"))
@@ -55,12 +58,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    smaller_batches(spark)
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
     found = decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), keep=("row",))
     return found.filter(~F.col("contaminated")).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    smaller_batches(spark)
     out = bpe.encode_decode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
