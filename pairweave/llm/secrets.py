@@ -41,9 +41,9 @@ PROVIDERS = (
     ("github", b"gh", re.compile(rb"(?<![A-Za-z0-9])(gh[pousr]_[A-Za-z0-9]{36,})")),
     ("slack", b"xox", re.compile(rb"(xox[abprs]-[A-Za-z0-9-]{10,})")),
     ("google", b"AIza", re.compile(rb"(AIza[A-Za-z0-9_-]{35})")),
-    ("jwt", b"eyJ", re.compile(rb"(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")),
+    ("jwt", b"eyJ", re.compile(rb"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")),
     ("pem", b"PRIVATE KEY-----", re.compile(rb"(-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*)")),
-    ("url", b"://", re.compile(rb"://[^\s:/@]{1,64}:([^\s:/@]{6,128})@")),
+    ("url", b"://", re.compile(rb"://[^\s:/@]++:([^\s:/@]{6,}+)@")),
 )
 KINDS = ("assign", "access", "hex", *(k for k, _, _ in PROVIDERS))
 _KEYWORDS = (b"passw", b"secret", b"token", b"api")
