@@ -1,10 +1,11 @@
 """Media columns: Netpbm and BMP bytes as numpy arrays, NPY tiles and difference hashes.
 
 ``decode`` reads PBM, PGM, PPM (plain and raw, 8 and 16 bits) and PAM, and BMP
-of 1, 4, 8, 24 or 32 bits without compression or with RLE8 or RLE4.  ``resize``
+of 1, 4, 8, 24 or 32 bits without compression or with RLE8 or RLE4 (of at most
+128 pixels a byte; an image that claims more is not read).  ``resize``
 is an exact area average: the integral image is taken at the (fractional) tile
-borders, with integers, over bands of rows, so memory does not follow the
-height.  ``difference_hash`` compares neighbours of a 9 x 8 grey tile.
+borders, with integers, over blocks of at most ``_BLOCK`` samples, so memory does
+not follow the size.  ``difference_hash`` compares neighbours of a 9 x 8 grey tile.
 
 ``media_columns`` gives for each row: width, height, channels, tile (NPY bytes)
 and dhash.  Null media, or bytes that are no such image, give nulls there and
@@ -27,7 +28,9 @@ from .arrow import ids_and_bytes, map_batches, texts
 
 PAYLOAD_WIDTH = 64
 TILE = 32
-_BAND = 1 << 14
+_BLOCK = 1 << 19
+#: The most pixels that a byte of run lengths stands for: 255 in two bytes.
+_EXPANSION = 128
 _HEADER = re.compile(rb"(?:\s|#[^\n]*\n)*(\d+)")
 
 
@@ -79,6 +82,8 @@ def _netpbm(data: bytes) -> np.ndarray:
 
 
 def _run_lengths(data: bytes, at: int, w: int, h: int, bits: int) -> np.ndarray:
+    if w * h > _EXPANSION * len(data):
+        raise ValueError("more pixels than the data can hold")
     out = np.zeros((h, w), np.uint8)
     x = y = 0
     while at + 1 < len(data) and y < h:
@@ -146,7 +151,7 @@ def decode(data: bytes) -> np.ndarray:
             return _bmp(data)
         if data[:1] == b"P" and data[1:2] in b"1234567" and len(data) > 2:
             return _netpbm(data)
-    except (ValueError, KeyError, IndexError, struct.error) as e:
+    except (ValueError, KeyError, IndexError, OverflowError, MemoryError, struct.error) as e:
         raise ValueError(f"not readable: {e}") from e
     raise ValueError("neither Netpbm nor BMP")
 
@@ -159,23 +164,25 @@ def pgm(samples: np.ndarray) -> bytes:
 def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Exact area averages, rounded half up, uint8 (height, width, channels)."""
     h, w, depth = image.shape
-    edges = np.arange(width + 1) * w
-    low, part = edges // width, edges % width
     across = np.zeros((height, width, depth), np.int64)
-    # rows are weighted by their overlap with each tile row, in units of 1 / height
-    top = np.arange(height + 1) * h
-    for at in range(0, h, _BAND):
-        band = image[at : at + _BAND].astype(np.int64)
-        down = np.zeros((len(band) + 1, w, depth), np.int64)
-        np.cumsum(band, 0, out=down[1:])
-        a = np.clip(top - at * height, 0, len(band) * height)
-        k, f = a // height, a % height
-        at_edge = down[k] * height + f[:, None, None] * band[np.minimum(k, len(band) - 1)]
-        rows = np.diff(at_edge, axis=0)
-        integral = np.zeros((height, w + 1, depth), np.int64)
-        np.cumsum(rows, 1, out=integral[:, 1:])
-        at_cut = integral[:, low] * width + part[:, None] * np.concatenate([rows, np.zeros((height, 1, depth), np.int64)], 1)[:, low]
-        across += np.diff(at_cut, axis=1)
+    columns = max(1, min(w, _BLOCK // (depth * max(height, 64))))
+    rows = max(1, _BLOCK // (depth * columns))
+    # rows are weighted by their overlap with each tile row, in units of 1 / height, and columns so
+    top, left = np.arange(height + 1) * h, np.arange(width + 1) * w
+    for y in range(0, h, rows):
+        for x in range(0, w, columns):
+            block = image[y : y + rows, x : x + columns].astype(np.int64)
+            n, m = block.shape[:2]
+            down = np.zeros((n + 1, m, depth), np.int64)
+            np.cumsum(block, 0, out=down[1:])
+            a = np.clip(top - y * height, 0, n * height)
+            k, f = a // height, a % height
+            sums = np.diff(down[k] * height + f[:, None, None] * block[np.minimum(k, n - 1)], axis=0)
+            integral = np.zeros((height, m + 1, depth), np.int64)
+            np.cumsum(sums, 1, out=integral[:, 1:])
+            a = np.clip(left - x * width, 0, m * width)
+            k, f = a // width, a % width
+            across += np.diff(integral[:, k] * width + f[:, None] * sums[:, np.minimum(k, m - 1)], axis=1)
     area = h * w
     return ((2 * across + area) // (2 * area)).astype(np.uint8)
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -114,7 +115,7 @@ def test_bmp():
     assert media.decode(bmp(bytes([0x40, 0, 0, 0, 0x80, 0, 0, 0]), 1, palette[:8]))[..., 0].tolist() == [[4, 1], [1, 4]]
 
 
-def test_resize_is_the_exact_area_average():
+def test_resize_is_the_exact_area_average(monkeypatch):
     from fractions import Fraction
 
     r = np.random.default_rng(0)
@@ -126,11 +127,24 @@ def test_resize_is_the_exact_area_average():
 
         want = [[int(sum(int(image[y, x, 0]) * overlap(y, h, a, th) * overlap(x, w, b, tw) for y in range(h) for x in range(w)) * th * tw / (h * w) + Fraction(1, 2)) for b in range(tw)] for a in range(th)]
         assert media.resize(image, th, tw)[..., 0].tolist() == want
-        band, media._BAND = media._BAND, 4
-        try:
+        for block in (4, 150):
+            monkeypatch.setattr(media, "_BLOCK", block)
             assert media.resize(image, th, tw)[..., 0].tolist() == want
-        finally:
-            media._BAND = band
+        monkeypatch.undo()
+
+
+def test_large_and_false_sizes():
+    wide = np.random.default_rng(0).integers(0, 256, (3, 400_000, 3), np.uint8)
+    high = wide.transpose(1, 0, 2)
+    tracemalloc.start()
+    a, b = media.resize(wide, 32, 32), media.resize(high, 32, 32)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (a == b.transpose(1, 0, 2)).all() and peak < 64 << 20
+    head = lambda w, h, how, bits: b"BM" + struct.pack("<IHHI", 56, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, bits, how, 0, 0, 0, 0, 0)
+    for odd in (head(2**31 - 1, 2**31 - 1, 1, 8) + b"\0\1", head(2**31 - 1, 2**31 - 1, 0, 24), b"P6 99999999999 99999999999 255\n", b"P4 99999999 99999999\n", b"P3 99999999 99999999 255\n1"):
+        with pytest.raises(ValueError):
+            media.decode(odd)
 
 
 def test_media_columns(spark):
