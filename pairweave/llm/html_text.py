@@ -52,7 +52,7 @@ from .storage import cut
 from .url_lists import host
 from .words import shingles
 
-RUN, SHARE, WINDOW, GROUP = 5, 0.3, 400_000, 2_000
+RUN, SHARE, WINDOW, GROUP = 5, 0.3, 400_000, 500
 #: Hosts of more than a SPLIT-th of all pages are dealt to parts; so there are at most that many.
 SPLIT = 50_000
 _SEEN = 200_000

@@ -1,7 +1,7 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A text is its words (see ``words``); its features are the five-word shingles
-(all its words if it has fewer), weighted (1 + ln tf) * ln(e + N / df) ** 0.25.
+(all its words if it has fewer), weighted (1 + ln tf) * ln(e + N / df).
 df is that of the shingle, from a sketch of fixed size: each of ``SKETCHES`` rows
 sums df by hash into ``BUCKETS`` buckets, what other shingles add to a bucket on
 average is taken off, and the middle one of the rows' values counts, 1 at least.
@@ -27,9 +27,10 @@ in each round, until every pair of two components has been compared.  So a round
 is linear in a bucket, there are as many rounds as the logarithm of the members
 left alone, and no link that would join two components is left out.
 
-Each document (null doc_id: class null) gets class_id, the least doc_id of its
-class.  A text without words, null or empty, is a class of its own.  Rows of
-equal doc_id are one document and share its class.  Other columns aren't read.
+Each row gets class_id, the least doc_id of its class, by its own text, whatever other
+rows share its doc_id.  A null doc_id's class is null, and its text joins no others; a
+text without words, null or empty, is a class of its own.  Repeated rows share their
+class.  Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -39,11 +40,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrow import batched, ids_and_bytes, row_groups, views
+from .arrow import batched, row_groups, views
+from .skew import salted_join
 from .storage import cut, remove
 from .words import mix, row_shingles, words
 
@@ -51,7 +53,6 @@ SHINGLE, THRESHOLD = 5, 0.8
 BUCKETS, SKETCHES, PIECE = 1 << 18, 3, 1 << 14
 REPEATS, BINS, ROWS = 4, 25, 5
 HUBS, PIVOTS = 3, 8
-_DAMP = 0.25
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +95,7 @@ def document_frequencies(own: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((SKETCHES, width), np.int64)
         for batch in batches:
-            at, data = views(batch.column(1))
+            at, data = views(batch.column(0))
             for i, j in row_groups(at):
                 _, shingle, _, _, _ = features(data[at[i] : at[j]], at[i : j + 1])
                 for row, bucket in zip(total, _buckets(shingle)):
@@ -110,7 +111,7 @@ def document_frequencies(own: DataFrame) -> np.ndarray:
             sums += np.frombuffer(x.as_buffer(), np.int64)
         return pa.table({"piece": table.column("piece")[:1], "sums": pa.array([sums.tobytes()], pa.binary())})
 
-    got = batched(own, run, "piece int, sums binary").groupBy("piece").applyInArrow(add, "piece int, sums binary").toArrow()
+    got = batched(own.select("text"), run, "piece int, sums binary").groupBy("piece").applyInArrow(add, "piece int, sums binary").toArrow()
     out = np.zeros((SKETCHES, width), np.int64)
     for k, x in zip(got.column("piece").to_pylist(), got.column("sums").to_pylist()):
         out.reshape(-1, PIECE)[k] = np.frombuffer(x, np.int64)
@@ -121,7 +122,7 @@ def inverse_frequencies(df: np.ndarray) -> np.ndarray:
     sums, n = df[:, :BUCKETS].astype(np.float64), float(df[0, BUCKETS])
     others = (sums.sum(1, keepdims=True) - sums) / (BUCKETS - 1)
     own = np.clip(sums - others, 1, max(n, 1))
-    return np.log(np.e + n / own) ** _DAMP
+    return np.log(np.e + n / own)
 
 
 def _uniform(x: np.ndarray, k: int) -> np.ndarray:
@@ -170,11 +171,14 @@ def bands(sample: np.ndarray) -> np.ndarray:
 
 
 def _signatures(own: DataFrame, idf: Broadcast) -> DataFrame:
-    """doc_id, c1 and c2 (content), bands (null for texts without words)."""
+    """The columns of ``own`` but the text, c1 and c2 (content), bands (null for texts without words)."""
+    kept = [c for c in own.columns if c != "text"]
+    own_at = {c: k for k, c in enumerate(own.columns)}
+    at_text = own_at["text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, data = views(batch.column(1))
+            at, data = views(batch.column(at_text))
             parts = []
             for i, j in row_groups(at):
                 of, shingle, tf, c1, c2 = features(data[at[i] : at[j]], at[i : j + 1])
@@ -184,15 +188,19 @@ def _signatures(own: DataFrame, idf: Broadcast) -> DataFrame:
                 c1, c2, key, some = (np.concatenate(x) for x in zip(*parts))
                 size = np.concatenate([[0], np.cumsum(np.full(len(key), key.shape[1]))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(size), pa.array(key.reshape(-1)), mask=pa.array(~some))
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "c1": pa.array(c1.astype(np.int64)), "c2": pa.array(c2.astype(np.int64)), "bands": lists})
+                yield pa.RecordBatch.from_pydict({c: batch.column(own_at[c]) for c in kept} | {"c1": pa.array(c1.astype(np.int64)), "c2": pa.array(c2.astype(np.int64)), "bands": lists})
 
-    return batched(own, run, "doc_id long, c1 long, c2 long, bands array<long>")
+    return batched(own, run, ", ".join(f"{c} long" for c in kept) + ", c1 long, c2 long, bands array<long>")
 
 
 def _similarities(pairs: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFrame:
     """a, b and the weighted Jaccard similarity of their texts (node, text)."""
-    one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    two = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+
+    def with_text(rows: DataFrame, side: str, other: str) -> DataFrame:
+        many = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n"))  # a pivot has as many pairs as its buckets have members
+        return salted_join(rows, texts.select(F.col("node").alias(side), F.col("text").alias("text_" + side)).join(many, side), [side], "n", F.col(other))
+
+    two = with_text(with_text(pairs, "b", "a"), "a", "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,21 +239,37 @@ def components(edges: DataFrame, paths: list[str]) -> DataFrame:
         labels = new.select("node", "comp")
 
 
+def row_key(doc_id: Column, text: Column) -> list[Column]:
+    """k and h, 128 bits of a row's doc_id and text."""
+    h = F.xxhash64(text.cast("binary"))
+    return [F.xxhash64(doc_id, h).alias("k"), h.alias("h")]
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and class_id of every row."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = grouped(own.filter("doc_id IS NOT NULL"), threshold).select("doc_id", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    return found.unionByName(own.filter("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id")))
+
+
+def grouped(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, k and h (``row_key``), group (null for a text without words) and class_id, the group's least doc_id, of every row, those of null doc_id too."""
     spark: SparkSession = docs.sparkSession
-    own = ids_and_bytes(docs, id_col, text_col)
+    doc, text = F.col(id_col).cast("long"), F.col(text_col)
+    own = docs.select(doc.alias("doc_id"), *row_key(doc, text), text.cast("binary").alias("text"))
     paths: list[str] = []
     idf = spark.sparkContext.broadcast(inverse_frequencies(document_frequencies(own)))  # SKETCHES * BUCKETS floats, 6 MB
     signed = cut(_signatures(own, idf), paths)
-    with_words = signed.filter(F.col("bands").isNotNull() & F.col("doc_id").isNotNull())
-    contents = cut(with_words.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), paths)
+    with_words = signed.filter("bands IS NOT NULL")
+    merged = with_words.groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), F.min(F.struct("k", "h")).alias("row"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    contents = cut(merged.withColumn("node", F.monotonically_increasing_id()), paths)  # written, so that each text keeps its number
 
     keyed = contents.select("node", F.explode("bands").alias("key")).distinct()
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     met = cut(keyed.join(shared, "key"), paths)
-    involved = met.select("node").distinct()
-    texts = cut(own.join(involved, own.doc_id == involved.node).select("node", "text"), paths)
+    involved = contents.join(met.select("node").distinct(), "node").select("node", "row.k", "row.h", "n")
+    found = salted_join(own.select("k", "h", "text"), involved, ["k", "h"], "n", F.monotonically_increasing_id())
+    texts = cut(found.groupBy("node").agg(F.first("text").alias("text")), paths)  # of repeated rows one, summed up before they are shuffled
     able, partners = _able(texts, idf, threshold, paths)
     members = met.join(able, "node")
     first = members.groupBy("key").agg(F.min(F.struct("lone", "node")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -284,9 +308,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         pairs = crossing.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
         turn += 1
 
-    final = contents.select("c1", "c2", "node").join(comp, "node", "left").select("c1", "c2", F.coalesce("comp", "node").alias("class_id"))
-    some = signed.filter(F.col("bands").isNotNull() & F.col("doc_id").isNotNull()).join(final, ["c1", "c2"]).select("doc_id", "class_id")
-    none = signed.filter(F.col("bands").isNull() | F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"))
+    groups = contents.select("c1", "c2", "n", "least", "node").join(comp, "node", "left").withColumn("group", F.coalesce("comp", "node"))
+    named = groups.groupBy("group").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("m"))
+    final = salted_join(groups.select("c1", "c2", "n", "group"), named, ["group"], "m", F.col("c1"))
+    some = salted_join(with_words.drop("bands"), final, ["c1", "c2"], "n", F.monotonically_increasing_id()).select("doc_id", "k", "h", "group", "class_id")
+    null = F.lit(None).cast("long")
+    none = signed.filter("bands IS NULL").select("doc_id", "k", "h", null.alias("group"), null.alias("class_id"))
     out = cut(some.unionByName(none))
     for path in paths:
         remove(spark, path)

@@ -37,7 +37,7 @@ def test_stages_by_hand(spark, folder):
     left = dedup_by_hand(docs)
     docs = [(d, left[d]) for d, t in docs if left[d] == t or left[d].strip()]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    idf = near_dup.inverse_frequencies(near_dup.document_frequencies(near_dup.ids_and_bytes(df)))
+    idf = near_dup.inverse_frequencies(near_dup.document_frequencies(df.select(df.text.cast("binary"))))
     of = classes_by_hand(docs, idf)
     docs = [x for x in docs if of[x[0]] == x[0]]
     docs = [x for x, c in zip(docs, contaminated_by_hand([t for _, t in docs], bench)) if not c[4]]
