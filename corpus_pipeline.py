@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pairweave.llm import bpe, decontaminate, language, lines, near_dup
 from pairweave.llm.arrow import smaller_batches
 from pairweave.llm.registry import VOCABULARY, table
+from pairweave.llm.skew import salted_join
 from pairweave.llm.storage import cut
 
 
@@ -49,12 +50,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     smaller_batches(spark)
-    key = max(docs.columns, key=len) + "_row"
-    keyed = cut(docs.withColumn(key, F.monotonically_increasing_id()))  # written, so that each row keeps its key
-    of = near_dup.classes(keyed, id_col=key).select(F.col("doc_id").alias("k"), F.col("class_id").alias("c"))
-    rows = keyed.select(F.col(key).alias("k"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"))
-    first = rows.join(of, "k").groupBy("c", F.col("d").isNull()).agg(F.min(F.struct("d", "h", "k")).alias("least"))
-    return keyed.join(first.select(F.col("least.k").alias(key)), key, "left_semi").select(*docs.columns)
+    longest = max(docs.columns, key=len)
+    k, h, copies = longest + "_k", longest + "_h", longest + "_n"
+    of = near_dup.grouped(docs)
+    rows = of.groupBy("doc_id", "k", "h", "group").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.filter("group IS NOT NULL").groupBy("group", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "h", "k", "n")).alias("least")).select("least.k", "least.h", "least.n")
+    stay = first.unionByName(rows.filter("group IS NULL").select("k", "h", F.lit(1).cast("long").alias("n")))
+    keys = near_dup.row_key(F.col("doc_id").cast("long"), F.col("text"))
+    keyed = docs.withColumns(dict(zip((k, h), keys)))
+    kept = salted_join(keyed, stay.select(F.col("k").alias(k), F.col("h").alias(h), F.col("n").alias(copies), F.col("n").alias("n_")), [k, h], "n_", F.monotonically_increasing_id())
+    # rows repeated as they are: one stays
+    once = kept.filter(F.col(copies) > 1).dropDuplicates([k, h])
+    return kept.filter(F.col(copies) == 1).unionByName(once).select(*docs.columns)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
