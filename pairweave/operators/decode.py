@@ -135,34 +135,56 @@ def decode(shots: DataFrame, graph: Matching, outputs: tuple[str, ...] = ("mask"
     return shots.select(*keys, F.coalesce(F.col(hits), F.expr("CAST(array() AS array<long>)")).cast("array<long>").alias(hits)).mapInArrow(run, ", ".join(kinds))
 
 
-def decode_by_component(shots: DataFrame, edges: DataFrame, component_of: DataFrame, norm: float, key: str = "shot") -> DataFrame:
+def decode_by_component(shots: DataFrame, edges: DataFrame, component_of: DataFrame, norm: float, key: str = "shot", block: int = 5_000) -> DataFrame:
     """(key, mask, weight_int) over a graph that isn't broadcast.
 
     ``edges`` (node1, node2 or null, weight, fault_ids) carry their component in
-    ``component_of`` (node, comp); hits are dealt to components, each group of
-    shots and edges of one component is solved by itself, and a shot's parts are
-    added up.  Boundary nodes must have been collapsed, and weights must be
-    non-negative; ``norm`` is the whole graph's.
+    ``component_of`` (node, comp).  Hits are dealt to components; of a component's
+    shots about ``block`` at a time meet its edges in a task, however many shots it
+    has, so one task holds one component's edges and solves shots as they
+    stream by; a shot's parts are added up.  Boundary nodes must have been collapsed, and
+    weights must be non-negative; ``norm`` is the whole graph's.
     """
-    place = component_of.select(F.col("node").alias("at"), F.col("comp").alias("part"))
-    own = edges.join(place, F.col("node1") == F.col("at")).select(F.col("part").alias("comp"), "node1", "node2", "weight", "fault_ids")
-    hit = shots.select(key, F.explode("hits").alias("node")).join(component_of.select("node", F.col("comp").alias("component")), "node").groupBy("component", key).agg(F.sort_array(F.collect_list("node")).alias("hits"))
     kind = shots.schema[key].dataType.simpleString()
+    hit = shots.select(F.col(key).alias("shot"), F.explode("hits").alias("node")).join(component_of.select("node", F.col("comp").alias("part")), "node")
+    parts = hit.groupBy("part", "shot").agg(F.sort_array(F.collect_list("node")).alias("hits"))
+    blocks = parts.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    dealt = parts.join(blocks, "part").select("part", F.pmod(F.xxhash64("shot"), F.col("blocks")).alias("block"), F.lit(1).alias("what"), "shot", "hits", *(F.lit(None).cast(t).alias(c) for c, t in _EDGE.items()))
+    place = component_of.select(F.col("node").alias("node1"), F.col("comp").alias("part"))
+    own = edges.select("node1", F.col("node2").cast("long").alias("node2"), F.col("weight").cast("double").alias("weight"), F.col("fault_ids").cast("array<long>").alias("fault_ids")).join(place, "node1").join(blocks, "part")
+    copied = own.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("what"), F.lit(None).cast(kind).alias("shot"), F.lit(None).cast("array<long>").alias("hits"), *_EDGE)
+    met = copied.unionByName(dealt).repartition("part", "block").sortWithinPartitions("part", "block", "what")
 
-    def solve(left, right):
-        graph, hits = left.to_pylist(), right.to_pylist()
-        place: dict[int, int] = {}
-        at = lambda x: place.setdefault(x, len(place))
-        rows = [(at(e["node1"]), None if e["node2"] is None else at(e["node2"]), e["fault_ids"] or [], round(e["weight"] * norm)) for e in graph]
-        own = Compiled(len(place), rows)
-        out = [(h[key], *own.decode([place[x] for x in h["hits"]])) for h in hits]
-        return pa.table({key: pa.array([x[0] for x in out]), "mask": pa.array([x[1] for x in out], pa.int64()), "weight_int": pa.array([x[2] for x in out], pa.int64())})
-
-    parts = own.groupBy("comp").cogroup(hit.groupBy("component")).applyInArrow(solve, f"{key} {kind}, mask long, weight_int long")
-    total = parts.groupBy(key).agg(F.bit_xor("mask").alias("mask"), F.sum("weight_int").alias("weight_int"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, solver, names = None, [], None, {}
+        for batch in batches:
+            keys, found = [], []
+            columns = [batch.column(i) for i in range(batch.num_columns)]
+            shot = columns[3]
+            for i, (part, block_, what, hits) in enumerate(zip(columns[0].to_pylist(), columns[1].to_pylist(), columns[2].to_pylist(), columns[4].to_pylist())):
+                if (part, block_) != now:
+                    now, rows, solver, names = (part, block_), [], None, {}
+                at = lambda x: names.setdefault(x, len(names))  # noqa: E731, B023
+                if what == 0:
+                    u, v, w, faults = (columns[k][i].as_py() for k in range(5, 9))
+                    rows.append((at(u), None if v is None else at(v), faults or [], round(w * norm)))
+                    continue
+                if solver is None:
+                    solver = Compiled(len(names), rows)
+                    rows = []
+                keys.append(i)
+                found.append(solver.decode([names[x] for x in hits]))
+            if keys:
+                yield pa.RecordBatch.from_arrays([shot.take(pa.array(keys)), pa.array([m for m, _ in found], pa.int64()), pa.array([w for _, w in found], pa.int64())], names=["shot", "mask", "weight_int"])
+
+    solved = met.mapInArrow(run, f"shot {kind}, mask long, weight_int long")
+    total = solved.groupBy(F.col("shot").alias(key)).agg(F.bit_xor("mask").alias("mask"), F.sum("weight_int").alias("weight_int"))
     return shots.select(key).join(total, key, "left").select(key, F.coalesce("mask", F.lit(0).cast("long")).alias("mask"), F.coalesce("weight_int", F.lit(0).cast("long")).alias("weight_int"))
 
 
+_EDGE = {"node1": "long", "node2": "long", "weight": "double", "fault_ids": "array<long>"}
+
+
 def matched_dict(decoded: DataFrame, pairs: str = "pairs") -> DataFrame:
     """``pairs`` as a map in both directions, null for the boundary."""
     mate = lambda p: F.struct(p["node1"].alias("key"), F.when(p["node2"] >= 0, p["node2"]).alias("value"))
@@ -170,23 +192,26 @@ def matched_dict(decoded: DataFrame, pairs: str = "pairs") -> DataFrame:
     return decoded.withColumn("mates", F.map_from_entries(F.concat(F.transform(pairs, mate), back)))
 
 
-def small_shots(shots: DataFrame, distance: DataFrame, away: DataFrame, key: str = "shot", most_hits: int = 12) -> DataFrame:
+def small_shots(shots: DataFrame, distance: DataFrame, away: DataFrame, key: str = "shot") -> DataFrame:
     """(key, weight) of shots of few hits by relational operators alone: subset sums level by level.
 
     ``distance`` is (src, dst, d), ``away`` (node, b).  A state is the set of open
     hits as bits; each level matches the lowest open hit with another one or with
     the boundary and keeps the least total of each (shot, state), so a shot has
-    at most 2^hits states, however many orders there are.  Infeasible shots have null.
+    at most 2^hits states, however many orders there are, and the largest shot has as
+    many levels as hits.  Infeasible shots have null; bits are those of a LONG, so shots of 64 and more raise.
     """
+    most_hits = shots.agg(F.max(F.size("hits")).alias("n")).first().n or 0
+    if most_hits > 62:
+        raise ValueError(f"a shot of {most_hits} hits has more states than this can hold; use decode")
     hit = shots.select(key, F.posexplode("hits").alias("i", "node"))
     other = hit.select(key, F.col("i").alias("j"), F.col("node").alias("to"))
     pair = hit.join(other, key).filter("i < j").join(distance.select(F.col("src").alias("node"), F.col("dst").alias("to"), "d"), ["node", "to"])
     alone = hit.join(away, "node").select(key, "i", F.col("i").alias("j"), F.col("b").alias("cost"))
     moves = pair.select(key, "i", "j", F.col("d").alias("cost")).unionByName(alone)
-    bit = lambda c: F.call_function("shiftleft", F.lit(1), F.col(c))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.col(c))
     moves = moves.select(key, "i", bit("i").bitwiseOR(bit("j")).alias("takes"), "cost")
-    size = F.when(F.size("hits") > most_hits, F.raise_error(F.lit(f"a shot has more than {most_hits} hits")).cast("int")).otherwise(F.size("hits"))
-    state = shots.select(key, (F.call_function("shiftleft", F.lit(1), size) - 1).alias("open"), F.lit(0).cast("long").alias("total"))
+    state = shots.select(key, (F.call_function("shiftleft", F.lit(1).cast("long"), F.size("hits")) - 1).alias("open"), F.lit(0).cast("long").alias("total"))
     for _ in range(most_hits):
         # done states (no lowest hit) and stuck ones find no move and stay
         low = F.when(F.col("open") != 0, F.round(F.log2(F.col("open").bitwiseAND(-F.col("open")))).cast("int"))

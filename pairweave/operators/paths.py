@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core.compiled import INFINITE, Compiled
+from ..storage import checkpointed
 
 
 def shortest_path(own: Compiled, u: int | None, v: int | None) -> list[int | None]:
@@ -46,7 +47,7 @@ def distances(edges: DataFrame, sources: DataFrame | None = None, cut=None, most
     default ``DataFrame.checkpoint``) runs once a round.  Each round doubles
     the number of steps, so there are about log2 of the longest path's steps.
     """
-    cut = cut or (lambda df: df.checkpoint())
+    cut = cut or checkpointed
     both = edges.filter("node2 IS NOT NULL AND node1 <> node2").select("node1", "node2", "weight")
     both = both.unionByName(both.select(F.col("node2").alias("node1"), F.col("node1").alias("node2"), "weight"))
     step = both.groupBy(F.col("node1").alias("src"), F.col("node2").alias("dst")).agg(F.min("weight").alias("d"))
@@ -72,3 +73,19 @@ def boundary_distances(table: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, b): the cheapest way to the boundary, from ``distances`` and the edges without a second node."""
     out = edges.filter("node2 IS NULL").groupBy(F.col("node1").alias("dst")).agg(F.min("weight").alias("w"))
     return table.join(out, "dst").groupBy(F.col("src").alias("node")).agg(F.min(F.col("d") + F.col("w")).alias("b"))
+
+
+def connected(edges: DataFrame, cut=None, most_rounds: int = 10_000) -> DataFrame:
+    """(node, comp): the least node of each node's connected component, by least labels of neighbours with pointer jumping."""
+    cut = cut or checkpointed
+    ends = edges.select("node1", F.coalesce("node2", "node1").alias("node2"))
+    both = cut(ends.unionByName(ends.select(F.col("node2").alias("node1"), F.col("node1").alias("node2"))).distinct())
+    labels = cut(both.groupBy(F.col("node1").alias("node")).agg(F.min(F.least("node1", "node2")).alias("comp")))
+    for _ in range(most_rounds):
+        near = both.join(labels.select(F.col("node").alias("node2"), "comp"), "node2").groupBy(F.col("node1").alias("node")).agg(F.min("comp").alias("via"))
+        step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "via").alias("via"))
+        new = cut(step.join(labels.select(F.col("node").alias("via"), F.col("comp").alias("far")), "via", "left").select("node", "old", F.least("via", F.coalesce("far", "via")).alias("comp")))
+        labels = new.select("node", "comp")
+        if new.filter("old <> comp").isEmpty():
+            break
+    return labels

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..core.graph import Matching
 from ..functions import bits
+from ..storage import checkpointed
 from ..operators import correlated, evaluate, lookup, merge, partition, paths, prepare, sampling
 from ..operators.decode import decode, decode_by_component, difference_syndrome, hits_of_dense, hits_of_differences, hits_of_packed, matched_dict, small_shots
 from ..sinks import shots as sinks
@@ -37,110 +39,125 @@ def _distances(graph: str) -> str:
     return fx.SQL_DISTANCES.format(graph=graph)
 
 
-_MATCH = fx.SQL_MATCH.format(shots="shots", hits="hits")
 _MASK = "CAST(coalesce(bit_xor(CAST(1 << CAST(fault AS INT) AS BIGINT)), 0) AS BIGINT)"
+_SOLVED = (fx.SQL_TORUS, fx.SQL_SHOTS, _distances("torus"), fx.sql_match("shots"))
+_PAIRED = (fx.SQL_COMPLETE, fx.SQL_SHOTS, fx.sql_match("shots"))
+_ANSWERS = (*_SOLVED, fx.SQL_LABELS.format(solved="solved", graph="torus"))
+
+
+def _text(pairs: str) -> Column:
+    return F.array_join(F.transform(pairs, lambda p: F.concat_ws(":", p["node1"], p["node2"])), " ")
+
+
+def _keyed(shots: DataFrame) -> DataFrame:
+    return shots.withColumn("shot", F.concat_ws("|", "user_id", "day"))
+
+
+def _unkeyed(found: DataFrame, *columns) -> DataFrame:
+    part = F.split("shot", r"\|")
+    return found.select(part[0].cast("long").alias("user_id"), part[1].alias("day"), *columns)
 
 
 # decoding
 
 
-@query("SELECT user_id, day, CAST(len(hits) AS BIGINT) AS n_hits, weight FROM solved JOIN shots USING (user_id, day)", fx.SQL_TORUS, fx.SQL_SHOTS, _distances("torus"), _MATCH, recursive=True)
+@query("SELECT user_id, day, CAST(len(hits) AS BIGINT) AS n_hits, weight, mask FROM answers JOIN shots USING (user_id, day)", *_ANSWERS, recursive=True)
 def q_decode_weight(spark, sf_dir):
-    """The least total weight of every (user, day) shot on the nation torus."""
+    """The least total weight of every (user, day) shot on the nation torus, and its labels."""
     shots = fx.shots(spark, sf_dir).withColumn("n_hits", F.size("hits").cast("long"))
-    return decode(shots, fx.torus_graph(spark, sf_dir), ("weight",)).withColumn("weight", F.col("weight").cast("long"))
+    return decode(shots, fx.torus_graph(spark, sf_dir), ("weight", "mask")).withColumn("weight", F.col("weight").cast("long"))
 
 
-@query("SELECT s.user_id, s.day, CAST(weight + (SELECT sum(weight) FROM signed_torus WHERE weight < 0) AS BIGINT) AS weight FROM solved s", fx.SQL_TORUS, fx.SQL_SHOTS,
-    """negative_ends AS (SELECT node FROM (SELECT node1 AS node FROM signed_torus WHERE weight < 0 UNION ALL SELECT node2 FROM signed_torus WHERE weight < 0 AND node2 IS NOT NULL) GROUP BY node HAVING count(*) % 2 = 1),
+_TOGGLED = """negative_ends AS (SELECT node FROM (SELECT node1 AS node FROM signed_torus WHERE weight < 0 UNION ALL SELECT node2 FROM signed_torus WHERE weight < 0 AND node2 IS NOT NULL) GROUP BY node HAVING count(*) % 2 = 1),
 mixed AS (SELECT user_id, day, unnest(hits) AS node FROM shots UNION ALL SELECT user_id, day, node FROM shots, negative_ends),
 open_hits AS (SELECT user_id, day, node FROM mixed GROUP BY ALL HAVING count(*) % 2 = 1),
-toggled AS (SELECT s.user_id, s.day, coalesce(list_sort(list(node) FILTER (node IS NOT NULL)), []) AS hits FROM shots s LEFT JOIN open_hits o ON o.user_id = s.user_id AND o.day = s.day GROUP BY s.user_id, s.day)""",
-    _distances("signed_torus"), fx.SQL_MATCH.format(shots="toggled", hits="hits"), recursive=True)
+toggled AS (SELECT s.user_id, s.day, coalesce(list_sort(list(node) FILTER (node IS NOT NULL)), []) AS hits FROM shots s LEFT JOIN open_hits o ON o.user_id = s.user_id AND o.day = s.day GROUP BY s.user_id, s.day)"""
+_SIGNED = """negative AS (SELECT sum(weight) AS w, bit_xor(CAST(1 AS BIGINT) << CAST(seq AS INT)) AS m FROM signed_torus WHERE weight < 0),
+signed_solved AS (SELECT user_id, day, CAST(weight + w AS BIGINT) AS weight, pairs, xor(solved.m, negative.m) AS m FROM solved, negative)"""
+
+
+@query("SELECT user_id, day, weight, mask, edges FROM answers", fx.SQL_TORUS, fx.SQL_SHOTS, _TOGGLED, _distances("signed_torus"), fx.sql_match("toggled"), _SIGNED, fx.SQL_LABELS.format(solved="signed_solved", graph="signed_torus"), recursive=True)
 def q_negative(spark, sf_dir):
-    """Decoding with negative weights: their sum, and the shot over absolute weights with toggled hits."""
-    return decode(fx.shots(spark, sf_dir), fx.torus_graph(spark, sf_dir, True), ("weight",)).withColumn("weight", F.col("weight").cast("long"))
+    """Decoding with negative weights: their sum, and the shot over absolute weights with toggled hits."""
+    found = decode(fx.shots(spark, sf_dir), fx.torus_graph(spark, sf_dir, True), ("weight", "mask", "edges"))
+    return found.withColumns({"weight": F.col("weight").cast("long"), "edges": _text("edges")})
 
 
-@query("SELECT user_id, day, weight FROM solved", fx.SQL_TORUS, fx.SQL_SHOTS, _distances("torus"), _MATCH, recursive=True)
+@query("SELECT user_id, day, weight FROM solved", *_SOLVED, recursive=True)
 def q_small_shots(spark, sf_dir):
     """X04 (b): the same optimum by relational operators alone, for shots of few hits."""
     edges = fx.torus(spark, sf_dir)
     table = paths.distances(edges.select("node1", "node2", "weight"), cut=_cut)
-    shots = fx.shots(spark, sf_dir).withColumn("shot", F.concat_ws("|", "user_id", "day"))
-    found = small_shots(shots.select("shot", "hits"), table, paths.boundary_distances(table, edges))
-    part = F.split("shot", r"\|")
-    return found.select(part[0].cast("long").alias("user_id"), part[1].alias("day"), "weight")
+    shots = _keyed(fx.shots(spark, sf_dir))
+    return _unkeyed(small_shots(shots.select("shot", "hits"), table, paths.boundary_distances(table, edges)), "weight")
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A small table that ends its lineage: cached where no checkpoint folder is set."""
-    sc = df.sparkSession.sparkContext
-    return df.checkpoint() if not sc._jsc.sc().getCheckpointDir().isEmpty() else df.cache()
+    """A small table that ends its lineage, in the folder that executors share."""
+    return checkpointed(df)
 
 
-@query("SELECT user_id, day, weight, true AS reproduces_hits FROM solved", fx.SQL_TORUS, fx.SQL_SHOTS, _distances("torus"), _MATCH, recursive=True)
+@query("SELECT user_id, day, edges FROM answers", *_ANSWERS, recursive=True)
 def q_edges(spark, sf_dir):
-    """Q06: solution edges; their weights add up to the optimum and their ends to the hits."""
-    own = fx.torus(spark, sf_dir).select(F.col("node1").alias("u"), F.coalesce("node2", F.lit(-1)).alias("v"), "weight")
-    key = own.select(F.when(F.col("v") < 0, F.col("u")).otherwise(F.least("u", "v")).alias("node1"), F.when(F.col("v") < 0, F.lit(-1)).otherwise(F.greatest("u", "v")).alias("node2"), "weight")
-    weights = key.agg(F.map_from_entries(F.collect_list(F.struct(F.struct("node1", "node2"), "weight"))).alias("weights"))
-    found = decode(fx.shots(spark, sf_dir).withColumn("raw", F.col("hits")), fx.torus_graph(spark, sf_dir), ("edges",))
-    total = F.aggregate("edges", F.lit(0).cast("long"), lambda acc, e: acc + F.element_at("weights", F.struct(e["node1"].alias("node1"), e["node2"].alias("node2"))).cast("long"))
-    ends = F.filter(F.flatten(F.transform("edges", lambda e: F.array(e["node1"], e["node2"]))), lambda x: x >= 0)
-    odd = F.filter(F.array_sort(F.array_distinct("ends")), lambda x: F.size(F.filter("ends", lambda y: y == x)) % 2 == 1)
-    return found.crossJoin(F.broadcast(weights)).withColumn("ends", ends).select("user_id", "day", total.alias("weight"), (odd == F.col("raw")).alias("reproduces_hits"))
-
-
-@query("SELECT user_id, day, weight, CAST(len(hits) AS BIGINT) AS n_hits FROM solved JOIN shots USING (user_id, day)", fx.SQL_TORUS, fx.SQL_SHOTS, _distances("torus"), _MATCH, recursive=True)
+    """Q06: solution edges."""
+    return decode(fx.shots(spark, sf_dir), fx.torus_graph(spark, sf_dir), ("edges",)).withColumn("edges", _text("edges"))
+
+
+@query("SELECT user_id, day, pairs, CAST(weight AS DOUBLE) AS weight FROM solved", *_PAIRED, recursive=True)
 def q_match_pairs(spark, sf_dir):
-    """Q07: matched pairs; every hit is in one, and their distances add up to the optimum."""
-    graph = fx.torus_graph(spark, sf_dir)
-    table = paths.distances(fx.torus(spark, sf_dir).select("node1", "node2", "weight"), cut=_cut)
-    away = paths.boundary_distances(table, fx.torus(spark, sf_dir))
-    far = table.unionByName(away.select(F.col("node").alias("src"), F.lit(-1).cast("long").alias("dst"), F.col("b").alias("d")))
-    ways = far.agg(F.map_from_entries(F.collect_list(F.struct(F.struct("src", "dst"), "d"))).alias("ways"))
-    found = decode(fx.shots(spark, sf_dir), graph, ("pairs",)).crossJoin(F.broadcast(ways))
-    total = F.aggregate("pairs", F.lit(0).cast("long"), lambda acc, p: acc + F.element_at("ways", F.struct(p["node1"].alias("src"), p["node2"].alias("dst"))).cast("long"))
-    n = F.size(F.filter(F.flatten(F.transform("pairs", lambda p: F.array(p["node1"], p["node2"]))), lambda x: x >= 0))
-    return found.select("user_id", "day", total.alias("weight"), n.cast("long").alias("n_hits"))
-
-
-@query("SELECT user_id, day, hits AS matched FROM shots", fx.SQL_TORUS, fx.SQL_SHOTS)
+    """Q07: matched pairs, the boundary being -1, on a graph where they are unique."""
+    return decode(fx.shots(spark, sf_dir), fx.complete_graph(spark, sf_dir), ("pairs", "weight")).withColumn("pairs", _text("pairs"))
+
+
+@query("""SELECT user_id, day, coalesce(string_agg(hit || ':' || coalesce(mate, 'none'), ' ' ORDER BY CAST(hit AS INT)), '') AS mates FROM solved LEFT JOIN both_ways USING (user_id, day) GROUP BY user_id, day""", *_PAIRED,
+    """each_pair AS (SELECT user_id, day, unnest(string_split(pairs, ' ')) AS pair FROM solved WHERE pairs <> ''),
+ends AS (SELECT user_id, day, split_part(pair, ':', 1) AS a, split_part(pair, ':', 2) AS b FROM each_pair),
+both_ways AS (SELECT user_id, day, a AS hit, nullif(b, '-1') AS mate FROM ends UNION ALL SELECT user_id, day, b, a FROM ends WHERE b <> '-1')""", recursive=True)
 def q_dict(spark, sf_dir):
-    """Q08: mates in both directions; the keys are the hits."""
-    return matched_dict(decode(fx.shots(spark, sf_dir), fx.torus_graph(spark, sf_dir), ("pairs",))).select("user_id", "day", F.array_sort(F.map_keys("mates")).alias("matched"))
+    """Q08: mates in both directions."""
+    found = matched_dict(decode(fx.shots(spark, sf_dir), fx.complete_graph(spark, sf_dir), ("pairs",)))
+    each = F.transform(F.array_sort(F.map_keys("mates")), lambda k: F.concat_ws(":", k, F.coalesce(F.element_at("mates", k).cast("string"), F.lit("none"))))
+    return found.select("user_id", "day", F.array_join(each, " ").alias("mates"))
 
 
-@query("SELECT user_id, day, weight * 2 AS weight_int FROM solved", fx.SQL_TORUS, fx.SQL_SHOTS, _distances("torus"), _MATCH, recursive=True)
+@query("SELECT user_id, day, weight * 2 AS weight_int, mask FROM by_four", fx.SQL_TORUS, fx.SQL_SHOTS, _distances("torus"),
+    """quarters AS (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_id % 4 AS part, (event_id * 11) % 25 AS hit FROM events GROUP BY ALL HAVING count(*) % 2 = 1),
+parts AS (SELECT user_id, day, part, list_sort(list(hit)) AS hits FROM quarters GROUP BY ALL)""", fx.sql_match("parts", ("user_id", "day", "part")),
+    """each_part AS (SELECT s.user_id, s.day, s.part, weight, (SELECT coalesce(bit_xor(CAST(1 AS BIGINT) << CAST((fault + s.part) % 8 AS INT)), 0) FROM torus WHERE (s.m >> CAST(seq AS INT)) & 1 = 1) AS mask FROM solved s),
+by_four AS (SELECT user_id, day, CAST(sum(weight) AS BIGINT) AS weight, bit_xor(mask) AS mask FROM each_part GROUP BY user_id, day)""", recursive=True)
 def q_by_component(spark, sf_dir):
-    """Q02 without a broadcast graph: hits and edges brought together by connected component."""
-    edges = fx.torus(spark, sf_dir).select("node1", "node2", "weight", "fault_ids")
-    comp = edges.select(F.explode(F.array("node1", "node2")).alias("node")).filter("node IS NOT NULL").distinct().withColumn("comp", F.lit(0))
-    shots = fx.shots(spark, sf_dir).withColumn("shot", F.concat_ws("|", "user_id", "day"))
-    found = decode_by_component(shots.select("shot", "hits"), edges, comp, 1.0)
-    part = F.split("shot", r"\|")
-    return found.select(part[0].cast("long").alias("user_id"), part[1].alias("day"), "weight_int")
+    """Q02 without a broadcast graph: hits and edges of four tori brought together by connected component."""
+    one = fx.torus(spark, sf_dir).select("node1", "node2", "weight", F.col("fault_ids")[0].alias("fault"), F.explode(F.array(*map(F.lit, range(4)))).alias("part"))
+    edges = one.select((F.col("node1") + 25 * F.col("part")).alias("node1"), (F.col("node2") + 25 * F.col("part")).alias("node2"), "weight", F.array((F.col("fault") + F.col("part")) % 8).alias("fault_ids"))
+    comp = paths.connected(edges, cut=_cut)
+    e = fx.table(spark, sf_dir, "events").select("user_id", F.to_date("ts").cast("string").alias("day"), ((F.col("event_id") * 11) % 25 + 25 * (F.col("event_id") % 4)).alias("hit"))
+    odd = e.groupBy("user_id", "day", "hit").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1")
+    shots = _keyed(odd.groupBy("user_id", "day").agg(F.sort_array(F.collect_list("hit")).alias("hits")))
+    return _unkeyed(decode_by_component(shots.select("shot", "hits"), edges, comp, 1.0), "weight_int", "mask")
 
 
-@query("SELECT user_id, day, weight * 2 AS weight_int FROM solved", fx.SQL_TORUS, fx.SQL_SHOTS, _distances("torus"), _MATCH, recursive=True)
+@query("SELECT user_id, day, weight * 2 AS weight_int, mask FROM answers", *_ANSWERS, recursive=True)
 def p_decode_in_parts(spark, sf_dir):
-    """Shots cut into independent parts, solved apart and added up."""
-    shots = fx.shots(spark, sf_dir).withColumn("shot", F.concat_ws("|", "user_id", "day"))
-    found = partition.decode_in_parts(shots.select("shot", "hits"), fx.torus_graph(spark, sf_dir))
-    part = F.split("shot", r"\|")
-    return found.select(part[0].cast("long").alias("user_id"), part[1].alias("day"), "weight_int")
+    """Shots cut into independent parts, solved apart and added up."""
+    return _unkeyed(partition.decode_in_parts(_keyed(fx.shots(spark, sf_dir)).select("shot", "hits"), fx.torus_graph(spark, sf_dir)), "weight_int", "mask")
 
 
-def _packed_predictions(spark, sf_dir):
-    return decode(fx.shots(spark, sf_dir), fx.torus_graph(spark, sf_dir), ("mask", "prediction", "packed"))
+@query("SELECT user_id, day, array_to_string(list_transform(range(0, 8), lambda i: CAST((mask >> CAST(i AS INT)) & 1 AS VARCHAR)), '') AS prediction, upper(format('{:02x}', mask)) AS packed, mask FROM answers", *_ANSWERS, recursive=True)
+def q_outputs(spark, sf_dir):
+    """Q04, Q09-Q11: labels as a mask, as bits and as packed bytes."""
+    found = decode(fx.shots(spark, sf_dir), fx.torus_graph(spark, sf_dir), ("mask", "prediction", "packed"))
+    return found.select("user_id", "day", F.array_join("prediction", "").alias("prediction"), F.hex("packed").alias("packed"), "mask")
 
 
-@query("SELECT user_id, day, true AS prediction_is_mask, true AS packed_is_mask FROM shots", fx.SQL_SHOTS)
-def q_outputs_agree(spark, sf_dir):
-    """Q04, Q09-Q11: the same labels as mask, bits and packed bytes."""
-    found = _packed_predictions(spark, sf_dir)
-    return found.select("user_id", "day", (bits.bits_of(F.col("mask"), 8) == F.col("prediction")).alias("prediction_is_mask"), (bits.pack_bits(F.col("prediction")) == F.col("packed")).alias("packed_is_mask"))
+@query("""SELECT user_id, day, coalesce(string_agg(CAST(label AS VARCHAR), ',' ORDER BY label), '') AS labels FROM solved LEFT JOIN
+(SELECT user_id, day, 2 * seq + k AS label FROM solved, torus, range(0, 2) AS r(k) WHERE (m >> CAST(seq AS INT)) & 1 = 1) USING (user_id, day) GROUP BY user_id, day""", *_SOLVED, recursive=True)
+def q_many_labels(spark, sf_dir):
+    """Q10: a graph of 110 labels, two an edge, which no LONG holds."""
+    g = Matching()
+    for r in fx.torus(spark, sf_dir).orderBy("seq").collect():  # 55 rows
+        g.add_boundary_edge(r.node1, {2 * r.seq, 2 * r.seq + 1}, r.weight) if r.node2 is None else g.add_edge(r.node1, r.node2, {2 * r.seq, 2 * r.seq + 1}, r.weight)
+    found = decode(fx.shots(spark, sf_dir), g, ("prediction",))
+    return found.select("user_id", "day", sinks.lines(F.col("prediction"), "hits").alias("labels"))
 
 
 # reading shots
@@ -216,22 +233,32 @@ def g_merge_smallest(spark, sf_dir):
     return _merged(spark, sf_dir, "smallest-weight")
 
 
-_INDEPENDENT = "list_reduce(list(tanh(weight / 2) ORDER BY seq), lambda a, b: a * b)"
 _INDEPENDENT_P = "round((1 - list_reduce(list(1 - 2 * error_probability ORDER BY seq), lambda a, b: a * b)) / 2, 9) AS error_probability"
+_PAIR = "(CASE WHEN abs(a) < abs(b) THEN abs(a) ELSE abs(b) END * sign(a) * sign(b) + ln(1 + exp(-abs(a + b))) - ln(1 + exp(-abs(a - b))))"
+_INDEPENDENT = f"round(list_reduce(list(light ORDER BY seq), lambda a, b: {_PAIR}), 6) AS weight"
+_LIGHT = "lit AS (SELECT * REPLACE (2 + weight / 10 AS weight), 2 + weight / 10 AS light FROM parallel)"
+
 
+def _lighter(spark, sf_dir) -> DataFrame:
+    """Weights of some 2 to 7, so that merged ones aren't all near 0."""
+    return fx.parallel(spark, sf_dir).withColumn("weight", 2 + F.col("weight") / 10)
 
-@query(_merge_sql(f"{_INDEPENDENT_P}, arg_min(fault, seq) AS fault, count(*) AS n"), fx.SQL_PARALLEL)
+
+def _independent(spark, sf_dir, fold):
+    out = merge.merge(_lighter(spark, sf_dir), "independent", fold=fold)
+    return out.select(F.least("node1", "node2").alias("k1"), F.greatest("node1", "node2").alias("k2"), "seq", "node1", "node2", F.round("weight", 6).alias("weight"), F.round("error_probability", 9).alias("error_probability"), F.col("fault_ids")[0].alias("fault"))
+
+
+@query(_merge_sql(f"{_INDEPENDENT}, {_INDEPENDENT_P}, arg_min(fault, seq) AS fault").replace("FROM parallel", "FROM lit"), fx.SQL_PARALLEL, _LIGHT)
 def g_merge_independent(spark, sf_dir):
-    """The ordered fold, probabilities of an odd number of faults."""
-    rows = fx.parallel(spark, sf_dir)
-    n = rows.groupBy(F.least("node1", "node2").alias("k1"), F.greatest("node1", "node2").alias("k2")).agg(F.count(F.lit(1)).alias("n"))
-    return _merged(spark, sf_dir, "independent").drop("weight").join(n, ["k1", "k2"])
+    """Weights and probabilities of an odd number of faults, by sums of logarithms, which add up within tasks."""
+    return _independent(spark, sf_dir, "closed")
 
 
-@query(_merge_sql(f"{_INDEPENDENT_P}, arg_min(fault, seq) AS fault"), fx.SQL_PARALLEL)
-def g_merge_independent_closed(spark, sf_dir):
-    """M04 by sums of logarithms, which add up within tasks."""
-    return _merged(spark, sf_dir, "independent", fold="closed").drop("weight")
+@query(_merge_sql(f"{_INDEPENDENT}, {_INDEPENDENT_P}, arg_min(fault, seq) AS fault").replace("FROM parallel", "FROM lit"), fx.SQL_PARALLEL, _LIGHT)
+def g_merge_independent_ordered(spark, sf_dir):
+    """The ordered fold."""
+    return _independent(spark, sf_dir, "ordered")
 
 
 _W = "round(sign(a) * sign(b) * least(abs(a), abs(b)) + ln(1 + exp(-abs(a + b))) - ln(1 + exp(-abs(a - b))), 9)"
@@ -249,8 +276,7 @@ def g_merge_formula(spark, sf_dir):
 def g_edges(spark, sf_dir):
     """Edges in the order of insertion, through the graph object."""
     _, edges = fx.torus_graph(spark, sf_dir).to_dataframes(spark)
-    out = edges.withColumn("weight", F.col("weight").cast("long"))
-    return out.withColumn("seq", F.when(F.col("node2").isNull(), F.col("node1") + 50).otherwise(F.col("seq")))
+    return edges.withColumn("weight", F.col("weight").cast("long"))
 
 
 @query("SELECT seq, node1, coalesce(node2, 25) AS node2, node2 IS NULL AS to_boundary FROM torus", fx.SQL_TORUS)
@@ -426,28 +452,67 @@ def c_reweight(spark, sf_dir):
     return correlated.reweight(first, correlated.checked_rules(rules, now)).select(part[0].cast("long").alias("user_id"), part[1].alias("day"), "edge", "weight")
 
 
+def _error_parts(spark, sf_dir) -> dict[int, list]:
+    """err: [p, [(nodes, label), ...]] of the torus' errors, as many whatever the scale."""
+    parts: dict[int, list] = {}
+    for r in fx.errors(spark, sf_dir).orderBy("err", "component").collect():
+        parts.setdefault(r.err, [r.p, []])[1].append(((r.node1,) if r.node2 is None else (r.node1, r.node2), r.edge % 8))
+    return parts
+
+
+def _model_text(spark, sf_dir) -> str:
+    """The torus' errors as a detector error model."""
+    side = lambda nodes, label: " ".join([*(f"D{x}" for x in nodes), f"L{label}"])
+    return "\n".join(f"error({p!r}) " + " ^ ".join(side(*x) for x in parts) for p, parts in _error_parts(spark, sf_dir).values())
+
+
 def _correlated_graph(spark, sf_dir):
-    from ..core.graph import Matching
-    from ..sources.error_model import ErrorModel
+    return Matching.from_detector_error_model(_model_text(spark, sf_dir), enable_correlations=True)
 
-    parts: dict[int, list] = {}
-    for r in fx.errors(spark, sf_dir).orderBy("err", "component").collect():  # the torus' errors, whatever the scale
-        parts.setdefault(r.err, [r.p, []])[1].append(((r.node1,) if r.node2 is None else tuple(sorted((r.node1, r.node2))), (r.edge % 8,)))
-    model = ErrorModel([(p / 10, c) for p, c in parts.values()], {}, 25, 8)
-    return Matching.from_detector_error_model(model, enable_correlations=True)
 
+#: The merged edges of the errors, and rules and weights as integers.
+_CORRELATED = """
+marginal AS (SELECT a AS seq, p, ln((1 - p) / p) AS weight FROM joint WHERE a = b),
+scale AS (SELECT 16777215.0 / max(abs(weight)) AS norm FROM (SELECT weight FROM marginal UNION ALL SELECT weight FROM implied)),
+model_torus AS (SELECT t.seq, t.node1, t.node2, t.seq % 8 AS fault, CAST(2 * floor(m.weight * norm + 0.5) AS BIGINT) AS weight FROM torus t JOIN marginal m USING (seq), scale),
+rules AS (SELECT a, b, CAST(2 * floor(weight * norm + 0.5) AS BIGINT) AS w FROM implied, scale)"""
 
-@query()
+
+def _second_pass(steps: int = 16) -> str:
+    """Each shot's own weights, the ways from its hits over them by lengthening paths, and the solutions."""
+    least = "SELECT user_id, day, src, dst, min(d) AS d, arg_min(m, d) AS m FROM ({}) GROUP BY ALL"
+    more = "SELECT * FROM {0} UNION ALL SELECT w.user_id, w.day, w.src, o.dst, w.d + o.d, xor(w.m, o.m) FROM {0} w JOIN own_step o ON o.user_id = w.user_id AND o.day = w.day AND o.src = w.dst"
+    ways = ["way0 AS (SELECT user_id, day, unnest(hits) AS src, unnest(hits) AS dst, CAST(0 AS BIGINT) AS d, CAST(0 AS BIGINT) AS m FROM shots)"]
+    ways += [f"way{i + 1} AS ({least.format(more.format(f'way{i}'))})" for i in range(steps)]
+    return f"""
+changed AS (SELECT user_id, day, b AS seq, min(w) AS w FROM first_solved JOIN rules ON (m >> CAST(a AS INT)) & 1 = 1 GROUP BY ALL),
+own_edge AS (SELECT s.user_id, s.day, t.seq, t.node1, t.node2, least(t.weight, coalesce(c.w, t.weight)) AS w, CAST(1 AS BIGINT) << CAST(t.seq AS INT) AS m FROM shots s CROSS JOIN model_torus t LEFT JOIN changed c ON c.user_id = s.user_id AND c.day = s.day AND c.seq = t.seq),
+own_step AS (SELECT user_id, day, node1 AS src, node2 AS dst, w AS d, m FROM own_edge WHERE node2 IS NOT NULL UNION ALL SELECT user_id, day, node2, node1, w, m FROM own_edge WHERE node2 IS NOT NULL),
+{", ".join(ways)},
+own_away AS (SELECT w.user_id, w.day, w.src AS node, min(d + e.w) AS b, arg_min(xor(w.m, e.m), d + e.w) AS m FROM way{steps} w JOIN own_edge e ON e.user_id = w.user_id AND e.day = w.day AND e.node1 = w.dst AND e.node2 IS NULL GROUP BY ALL),
+""" + fx.sql_match("shots", distance=f"way{steps}", away="own_away", own_ways=True)
+
+
+def _renamed(sql: str) -> str:
+    """A first pass beside the second one."""
+    for name in ("hit", "moves", "state", "solved"):
+        sql = sql.replace(f"{name} AS (", f"first_{name} AS (").replace(f"FROM {name} ", f"FROM first_{name} ").replace(f"JOIN {name} ", f"JOIN first_{name} ")
+    return sql
+
+
+_TWO_PASSES = (fx.SQL_TORUS, fx.SQL_ERRORS, _JOINT, _CORRELATED, fx.SQL_SHOTS, _distances("model_torus"), _renamed(fx.sql_match("shots")), _second_pass(), fx.SQL_LABELS.format(solved="solved", graph="model_torus"))
+
+
+@query("SELECT user_id, day, weight AS weight_int, mask FROM answers", *_TWO_PASSES, recursive=True)
 def q_correlated(spark, sf_dir):
-    """Two passes; tested against two separate decodes on reweighted graphs."""
-    found = decode(fx.shots(spark, sf_dir), _correlated_graph(spark, sf_dir), ("mask", "weight"), enable_correlations=True)
-    return found.withColumn("weight", F.round("weight", 6))
+    """Two passes, the second over weights that the first one's edges imply."""
+    return decode(fx.shots(spark, sf_dir), _correlated_graph(spark, sf_dir), ("mask", "weight_int"), enable_correlations=True)
 
 
-@query()
+@query("SELECT user_id, day, edges FROM answers", *_TWO_PASSES, recursive=True)
 def q_correlated_edges(spark, sf_dir):
     """Solution edges of the second pass."""
-    return decode(fx.shots(spark, sf_dir), _correlated_graph(spark, sf_dir), ("edges",), enable_correlations=True).select("user_id", "day", "edges")
+    return decode(fx.shots(spark, sf_dir), _correlated_graph(spark, sf_dir), ("edges",), enable_correlations=True).withColumn("edges", _text("edges"))
 
 
 # sampling and evaluation
