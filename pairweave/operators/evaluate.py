@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +54,14 @@ def binomial_interval(mistakes: int, shots: int, confidence: float = 0.95) -> tu
     return low, high
 
 
-def error_rates(counted: DataFrame, confidence: float = 0.95) -> list[dict]:
-    """A small table of counts, collected, with rates and intervals."""
-    return [r.asDict() | {"rate": r.mistakes / r.shots if r.shots else math.nan, "interval": binomial_interval(r.mistakes, r.shots, confidence)} for r in counted.collect()]
+def error_rates(counted: DataFrame, confidence: float = 0.95) -> DataFrame:
+    """Adds rate, low and high, the Clopper-Pearson interval, to rows of mistakes and shots; null where there are no shots."""
+    ends = "struct<low:double,high:double>"
+
+    @F.pandas_udf(ends)
+    def interval(mistakes: pd.Series, shots: pd.Series) -> pd.DataFrame:
+        found = [binomial_interval(int(m), int(n), confidence) if n else (None, None) for m, n in zip(mistakes, shots)]
+        return pd.DataFrame(found, columns=["low", "high"]).astype(float)
+
+    both = counted.withColumn("rate", F.when(F.col("shots") > 0, F.col("mistakes") / F.col("shots"))).withColumn("interval", interval("mistakes", "shots"))
+    return both.select(*counted.columns, "rate", "interval.low", "interval.high")

@@ -7,8 +7,6 @@ are distances, ``c_*`` correlations, ``r_*`` sampling, ``e_*`` evaluation,
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,20 +18,7 @@ from ..operators.decode import decode, decode_by_component, difference_syndrome,
 from ..sinks import shots as sinks
 from ..sources import check_matrix
 from . import fixtures as fx
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *parts: str, recursive: bool = False):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = "WITH " + "RECURSIVE " * recursive + ",\n".join(p.strip() for p in parts) + "\n" + sql.strip() if parts else sql.strip()
-        return f
-
-    return add
-
+from .register import QUERIES, SQL, query  # noqa: F401
 
 def _distances(graph: str) -> str:
     return fx.SQL_DISTANCES.format(graph=graph)
@@ -183,12 +168,13 @@ def h_extract_2d(spark, sf_dir):
     return hits_of_differences(difference_syndrome(full), 25)
 
 
-@query("SELECT user_id, day, hits FROM shots", fx.SQL_SHOTS)
+@query("""SELECT user_id, day, array_to_string(list_transform(range(0, 4), lambda k: format('{:02X}', (mask >> CAST(8 * k AS INT)) & 255)), '') AS digits, hits
+FROM (SELECT *, CAST(list_sum(list_transform(hits, lambda h: CAST(1 AS BIGINT) << CAST(h AS INT))) AS BIGINT) AS mask FROM shots)""", fx.SQL_SHOTS)
 def h_bitpack(spark, sf_dir):
-    """Bit-packed shots and back."""
+    """Bit-packed shots, and the hits read from them."""
     shots = fx.shots(spark, sf_dir)
-    dense = F.transform(F.sequence(F.lit(0), F.lit(24)), lambda i: F.array_contains("hits", i.cast("long")).cast("int"))
-    return shots.select("user_id", "day", bits.pack_bits(dense).alias("packed")).select("user_id", "day", hits_of_packed(F.col("packed"), 25, 25).alias("hits"))
+    packed = shots.select("user_id", "day", bits.packed_of(F.col("hits"), 25).alias("packed"))
+    return packed.select("user_id", "day", F.hex("packed").alias("digits"), hits_of_packed(F.col("packed"), 25, 25).alias("hits"))
 
 
 @query("SELECT user_id, day, rtrim('shot ' || array_to_string(list_transform(hits, lambda x: 'L' || x), ' ')) AS dets, array_to_string(hits, ',') AS hit_line, array_to_string(list_transform(range(0, 25), lambda i: CASE WHEN list_contains(hits, i) THEN '1' ELSE '0' END), '') AS digits FROM shots", fx.SQL_SHOTS)
@@ -279,12 +265,6 @@ def g_edges(spark, sf_dir):
     return edges.withColumn("weight", F.col("weight").cast("long"))
 
 
-@query("SELECT seq, node1, coalesce(node2, 25) AS node2, node2 IS NULL AS to_boundary FROM torus", fx.SQL_TORUS)
-def g_export(spark, sf_dir):
-    """The virtual boundary as a further node."""
-    return fx.torus(spark, sf_dir).select("seq", "node1", F.coalesce("node2", F.lit(25)).cast("long").alias("node2"), F.col("node2").isNull().alias("to_boundary"))
-
-
 @query("""SELECT CAST(25 AS BIGINT) AS num_nodes, count(*) AS num_edges, CAST(23 AS BIGINT) AS num_detectors, max(fault) + 1 AS num_fault_ids, CAST(max(abs(weight)) AS DOUBLE) AS max_abs_weight, bool_and(error_probability BETWEEN 0 AND 1) AS all_probabilities FROM torus""", fx.SQL_TORUS)
 def g_counts(spark, sf_dir):
     """P05-P12."""
@@ -441,17 +421,6 @@ def c_implied(spark, sf_dir):
     return correlated.implied_weights(correlated.joint_probabilities(fx.errors(spark, sf_dir))).withColumn("weight", F.round("weight", 6))
 
 
-@query("""SELECT user_id, day, b AS edge, round(min(i.weight), 6) AS weight FROM odd JOIN implied i ON i.a = odd.hit JOIN torus t ON t.seq = i.b
-GROUP BY user_id, day, b HAVING round(min(i.weight), 6) < min(t.weight)""", fx.SQL_TORUS, fx.SQL_ERRORS, _JOINT, fx.SQL_SHOTS)
-def c_reweight(spark, sf_dir):
-    """Weights of a shot after the edges of a first pass; here, edge numbers taken from the shot's hits."""
-    rules = correlated.implied_weights(correlated.joint_probabilities(fx.errors(spark, sf_dir))).withColumn("weight", F.round("weight", 6))
-    now = fx.torus(spark, sf_dir).select(F.col("seq").alias("edge"), F.col("weight").cast("double").alias("weight"))
-    first = fx.shots(spark, sf_dir).select(F.concat_ws("|", "user_id", "day").alias("shot"), F.explode("hits").alias("edge"))
-    part = F.split("shot", r"\|")
-    return correlated.reweight(first, correlated.checked_rules(rules, now)).select(part[0].cast("long").alias("user_id"), part[1].alias("day"), "edge", "weight")
-
-
 def _error_parts(spark, sf_dir) -> dict[int, list]:
     """err: [p, [(nodes, label), ...]] of the torus' errors, as many whatever the scale."""
     parts: dict[int, list] = {}
@@ -503,6 +472,20 @@ def _renamed(sql: str) -> str:
 _TWO_PASSES = (fx.SQL_TORUS, fx.SQL_ERRORS, _JOINT, _CORRELATED, fx.SQL_SHOTS, _distances("model_torus"), _renamed(fx.sql_match("shots")), _second_pass(), fx.SQL_LABELS.format(solved="solved", graph="model_torus"))
 
 
+@query("""SELECT user_id, day, b AS edge, round(min(i.weight), 6) AS weight FROM first_solved JOIN implied i ON (m >> CAST(i.a AS INT)) & 1 = 1 JOIN marginal t ON t.seq = i.b
+GROUP BY user_id, day, b HAVING round(min(i.weight), 6) < round(min(t.weight), 6)""", *_TWO_PASSES[:-2], recursive=True)
+def c_reweight(spark, sf_dir):
+    """The weights that the edges of a shot's first pass imply."""
+    graph = _correlated_graph(spark, sf_dir)
+    own = fx.torus(spark, sf_dir).select(F.least("node1", F.coalesce("node2", "node1")).alias("u"), F.when(F.col("node2").isNull(), -1).otherwise(F.greatest("node1", "node2")).cast("long").alias("v"), F.col("seq").alias("edge"))
+    joint = correlated.joint_probabilities(fx.errors(spark, sf_dir))
+    rules = correlated.implied_weights(joint).withColumn("weight", F.round("weight", 6))
+    now = joint.filter("a = b").select(F.col("a").alias("edge"), F.round(F.ln((1 - F.col("p")) / F.col("p")), 6).alias("weight"))
+    chosen = decode(_keyed(fx.shots(spark, sf_dir)).select("shot", "hits"), graph, ("edges",)).select("shot", F.explode("edges").alias("e")).select("shot", F.col("e.node1").alias("u"), F.col("e.node2").alias("v"))
+    first = chosen.join(F.broadcast(own), ["u", "v"]).select("shot", "edge")  # 55 edges
+    return _unkeyed(correlated.reweight(first, correlated.checked_rules(rules, now)), "edge", "weight")
+
+
 @query("SELECT user_id, day, weight AS weight_int, mask FROM answers", *_TWO_PASSES, recursive=True)
 def q_correlated(spark, sf_dir):
     """Two passes, the second over weights that the first one's edges imply."""
@@ -536,12 +519,36 @@ def r_noise(spark, sf_dir):
     return sampling.sample_shots(spark, fx.torus(spark, sf_dir), 2000, flip=_flip)
 
 
-@query()
-def e_error_rate(spark, sf_dir):
-    """Q13, Q16: mistakes of decoding samples of the torus' own errors."""
+_SAMPLED = (fx.SQL_TORUS, _SAMPLE, _distances("torus"), fx.sql_match("sampled", ("shot",)),
+    """predicted AS (SELECT shot, (SELECT coalesce(bit_xor(CAST(1 AS BIGINT) << CAST(fault AS INT)), 0) FROM torus WHERE (s.m >> CAST(seq AS INT)) & 1 = 1) AS mask FROM solved s),
+actual AS (SELECT shot, coalesce(list_sum(list_transform(faults, lambda f: CAST(1 AS BIGINT) << CAST(f AS INT))), 0) AS mask FROM sampled),
+counted AS (SELECT shot % 4 AS grid, sum(CASE WHEN p.mask <> a.mask THEN 1 ELSE 0 END)::BIGINT AS mistakes, count(*) AS shots FROM predicted p JOIN actual a USING (shot) GROUP BY 1)""")
+
+
+def _mistakes(spark, sf_dir):
     drawn = sampling.sample_shots(spark, fx.torus(spark, sf_dir), 2000, flip=_flip)
     actual = drawn.select("shot", bits.mask_of(F.col("faults")).alias("mask"))
-    return evaluate.count_mistakes(decode(drawn.select("shot", "hits"), fx.torus_graph(spark, sf_dir), ("mask",)), actual)
+    found = decode(drawn.select("shot", "hits"), fx.torus_graph(spark, sf_dir), ("mask",)).withColumn("grid", F.col("shot") % 4)
+    return evaluate.count_mistakes(found, actual, by=("grid",))
+
+
+@query("SELECT grid, mistakes, shots, round(mistakes / shots, 9) AS rate FROM counted", *_SAMPLED, recursive=True)
+def e_error_rate(spark, sf_dir):
+    """Q13, Q16: mistakes of decoding samples of the torus' own errors, by group."""
+    return evaluate.error_rates(_mistakes(spark, sf_dir)).select("grid", "mistakes", "shots", F.round("rate", 9).alias("rate"))
+
+
+@query("""SELECT grid, round(tail_low, 6) AS tail_low, round(tail_high, 6) AS tail_high FROM (SELECT grid, CAST(0.025 AS DOUBLE) AS tail_low, CAST(0.025 AS DOUBLE) AS tail_high FROM counted)""", *_SAMPLED, recursive=True)
+def e_interval(spark, sf_dir):
+    """Q16: the interval's ends are where 2.5 % of the binomial lie beyond what was counted, summed term by term."""
+    found = evaluate.error_rates(_mistakes(spark, sf_dir))
+    k = F.sequence(F.lit(0).cast("long"), F.col("shots"))
+    log = F.transform(F.sequence(F.lit(1).cast("long"), F.col("shots")), lambda i: F.ln(i.cast("double")))
+    facts = F.aggregate(log, F.array(F.lit(0.0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    at = lambda a, i: F.get(a, i.cast("int"))
+    term = lambda i, p: F.exp(at(F.col("facts"), F.col("shots")) - at(F.col("facts"), i) - at(F.col("facts"), F.col("shots") - i) + i * F.ln(p) + (F.col("shots") - i) * F.ln(1 - p))
+    tail = lambda keep, p: F.aggregate(F.transform(F.filter(k, keep), lambda i: term(i, F.col(p))), F.lit(0.0), lambda acc, x: acc + x)
+    return found.withColumn("facts", facts).select("grid", F.round(tail(lambda i: i >= F.col("mistakes"), "low"), 6).alias("tail_low"), F.round(tail(lambda i: i <= F.col("mistakes"), "high"), 6).alias("tail_high"))
 
 
 @query("SELECT user_id % 5 AS grid, sum(CASE WHEN len(hits) % 3 <> 1 THEN 1 ELSE 0 END)::BIGINT AS mistakes, count(*) AS shots FROM shots GROUP BY 1", fx.SQL_SHOTS)
@@ -558,12 +565,14 @@ def e_summary(spark, sf_dir):
     return evaluate.summary(evaluate.count_mistakes(own, own.select("shot", F.lit(1).alias("mask"))))
 
 
-@query("SELECT err, CASE WHEN err % 4 = 0 THEN 1 - p ELSE p END AS p FROM (SELECT DISTINCT err, p FROM errors)", fx.SQL_TORUS, fx.SQL_ERRORS)
+@query("SELECT err, round(p, 12) AS least, err % 3 = 0 AS certain FROM (SELECT DISTINCT err, p FROM errors)", fx.SQL_TORUS, fx.SQL_ERRORS)
 def r_flip(spark, sf_dir):
-    """R04, with every fourth error in place of a random share."""
+    """A random share of probabilities is turned round, all of a third's and none of another third's."""
     own = fx.errors(spark, sf_dir).select("err", "p").distinct()
-    quarter = sampling.flip_probabilities(own.filter("err % 4 = 0"), 1.1)
-    return quarter.unionByName(sampling.flip_probabilities(own.filter("err % 4 <> 0"), 0.0))
+    some = [sampling.flip_probabilities(own.filter(f"err % 3 = {k}"), share, seed=7) for k, share in ((0, 1.0), (1, 0.5), (2, 0.0))]
+    all_ = some[0].unionByName(some[1]).unionByName(some[2])
+    wrong = ((F.col("err") % 3 == 2) & (F.col("p") > 0.5)) | ((F.col("err") % 3 == 0) & (F.col("p") < 0.5))
+    return all_.select("err", F.round(F.when(wrong, -1.0).otherwise(F.least("p", 1 - F.col("p"))), 12).alias("least"), (F.col("err") % 3 == 0).alias("certain"))
 
 
 # partitions
@@ -590,3 +599,8 @@ def p_active(spark, sf_dir):
     """The edges of one partition, those that leave it going to a virtual boundary."""
     placed = partition.partitions(partition.rounds(_nodes(spark, sf_dir)), 2)
     return partition.active_edges(fx.torus(spark, sf_dir), placed, 1, 1).select("seq", "node1", "node2", "virtual")
+
+
+from . import library  # noqa: E402, F401  (its queries are registered, too)
+
+library.register_correlated()

@@ -1,24 +1,25 @@
 """Shot files: 01, b8, r8, ptb64, hits and dets.
 
 ``parse`` and ``parse_stream`` decode bytes on the driver, for the command line.
-``read`` gives a DataFrame (shot, hits, observables) for large files: text
-formats go through Spark's text reader and are split, with dense shot numbers
-from the order of splits; b8 goes through a Python data source whose partitions
-are byte ranges.
+``read`` gives a DataFrame (shot, hits, observables) for large files, on any
+file system that Spark reads: text formats go through the text reader, b8 and
+ptb64 through fixed-length records, both split, with dense shot numbers from the
+order of splits.  r8 shots have no fixed length: each file is one task's.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ..functions.bits import set_bits
 
 FORMATS = ("01", "b8", "r8", "ptb64", "hits", "dets")
-_RANGE = 16 << 20
 
 
 def parse(data: bytes, fmt: str, num_detectors: int, num_observables: int = 0) -> Iterator[tuple[list[int], list[int]]]:
@@ -84,67 +85,64 @@ def parse_line(line: str, fmt: str, num_detectors: int, num_observables: int = 0
     return sorted(hits), sorted(observables)
 
 
-class _Packed(DataSourceReader):
-    def __init__(self, path: str, size: int):
-        self.path, self.size = path, size
-
-    def partitions(self):
-        total = os.path.getsize(self.path)
-        if total % self.size:
-            raise ValueError(f"{total} bytes aren't whole shots of {self.size}")
-        step = max(1, _RANGE // self.size)
-        return [InputPartition((k, min(k + step, total // self.size))) for k in range(0, total // self.size, step)]
-
-    def read(self, partition):
-        import pyarrow as pa
-
-        first, last = partition.value
-        with open(self.path, "rb") as f:
-            f.seek(first * self.size)
-            for at in range(first, last, 10_000):
-                n = min(10_000, last - at)
-                raw = f.read(n * self.size)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n)), pa.array([raw[i * self.size : (i + 1) * self.size] for i in range(n)], pa.binary())], names=["shot", "packed"])
-
-
-class PackedShots(DataSource):
-    """``spark.read.format("packed_shots").option("bytes", n).load(path)``: (shot, packed), for a file that all executors see."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "packed_shots"
+def _records(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """value: the records of ``size`` bytes of a file, split like any; a rest stops the query."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    total = at.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(at).getLen()
+    if total % size:
+        raise ValueError(f"{total} bytes aren't whole shots of {size}")
+    rows = sc._jsc.sc().binaryRecords(path, size, sc._jsc.hadoopConfiguration())
+    return DataFrame(spark._jsparkSession.createDataset(rows, sc._jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark)
 
-    def schema(self) -> str:
-        return "shot long, packed binary"
 
-    def reader(self, schema) -> DataSourceReader:
-        return _Packed(self.options["path"], int(self.options["bytes"]))
+def _numbered(rows: DataFrame, *splits: str) -> DataFrame:
+    """(shot, value): numbers from 0 in the order of the columns that tell splits apart, without bringing rows together."""
+    placed = rows.select("*", F.monotonically_increasing_id().alias("at"))
+    chunks = placed.groupBy(*splits).agg(F.min("at").alias("least"), F.count(F.lit(1)).alias("n")).orderBy(*splits).collect()  # a row a split
+    offset, moved = 0, []
+    for c in chunks:
+        moved.append((*(c[x] for x in splits), offset - c.least))
+        offset += c.n
+    kind = ", ".join(f"{x} {rows.schema[x].dataType.simpleString()}" for x in splits)
+    return placed.join(F.broadcast(rows.sparkSession.createDataFrame(moved, f"{kind}, by long")), list(splits)).select((F.col("at") + F.col("by")).alias("shot"), "value")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(shot, line) of a text file or folder, numbered from 0 in the order of files and lines, without bringing lines together."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    chunks = lines.groupBy("file", "start").agg(F.min("at").alias("least"), F.count(F.lit(1)).alias("n")).orderBy("file", "start").collect()  # a row a split
-    offset, rows = 0, []
-    for c in chunks:
-        rows.append((c.file, c.start, offset - c.least))
-        offset += c.n
-    moved = spark.createDataFrame(rows, "file string, start long, by long")
-    return lines.join(F.broadcast(moved), ["file", "start"]).select((F.col("at") + F.col("by")).alias("shot"), F.col("value").alias("line"))
+    """(shot, line) of a text file or folder, numbered from 0 in the order of files and lines."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    return _numbered(lines, "file", "start").withColumnRenamed("value", "line")
 
 
 def read(spark: SparkSession, path: str, fmt: str, num_detectors: int, num_observables: int = 0) -> DataFrame:
-    """(shot, hits, observables) of a file of 01, b8, hits or dets."""
+    """(shot, hits, observables) of a file, or for text formats a folder of files."""
+    width = num_detectors + num_observables
     split = lambda ones: [F.filter(ones, lambda x: x < num_detectors).alias("hits"), F.transform(F.filter(ones, lambda x: x >= num_detectors), lambda x: x - num_detectors).alias("observables")]
     if fmt == "b8":
-        from ..functions.bits import set_bits
-
-        spark.dataSource.register(PackedShots)
-        raw = spark.read.format("packed_shots").option("bytes", (num_detectors + num_observables + 7) // 8).load(path)
-        ones = F.transform(set_bits(F.col("packed")), lambda x: x.cast("long"))
-        return raw.select("shot", *split(ones))
-    if fmt not in ("01", "hits", "dets"):
-        raise ValueError(f"format {fmt!r} isn't read as a table; use parse")
+        rows = _numbered(_records(spark, path, (width + 7) // 8).withColumn("split", F.spark_partition_id()), "split")
+        return rows.select("shot", *split(F.transform(set_bits(F.col("value")), lambda x: x.cast("long"))))
+    if fmt == "ptb64":
+        rows = _numbered(_records(spark, path, 8 * width).withColumn("split", F.spark_partition_id()), "split")
+        bits = rows.select("shot", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.substring("value", i * 8 + 1, F.lit(8)))).alias("bit", "word"))
+        each = bits.select("shot", "bit", F.explode(set_bits(F.col("word"))).alias("of"))
+        found = each.groupBy((F.col("shot") * 64 + F.col("of")).alias("shot")).agg(F.array_sort(F.collect_list(F.col("bit").cast("long"))).alias("ones"))
+        shots = rows.select(F.explode(F.sequence(F.col("shot") * 64, F.col("shot") * 64 + 63)).alias("shot")).join(found, "shot", "left")
+        return shots.select("shot", *split(F.coalesce("ones", F.expr("CAST(array() AS array<long>)"))))
+    if fmt == "r8":
+        kind = pa.list_(pa.int64())
+
+        def shots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for data in batch.column(0):
+                    found = parse(data.as_py(), "r8", num_detectors, num_observables)
+                    while part := list(islice(found, 10_000)):
+                        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in part], kind), pa.array([o for _, o in part], kind)], names=["hits", "observables"])
+
+        raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(shots, "hits array<long>, observables array<long>")
+        rows = raw.select(F.struct("hits", "observables").alias("value"), F.spark_partition_id().alias("split"))
+        return _numbered(rows, "split").select("shot", "value.hits", "value.observables")
+    if fmt not in FORMATS:
+        raise ValueError(f"unknown format {fmt!r}; known are {', '.join(FORMATS)}")
     lines = numbered_lines(spark, path)
     text = F.trim("line")
     if fmt == "01":
