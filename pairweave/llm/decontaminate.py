@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import batched, ids_and_bytes, row_groups, views
+from .storage import cut
 from .words import lower, shingles, words
 
 WINDOW, SHINGLE, BLOCK = 13, 5, 200_000
@@ -217,7 +218,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     spark = docs.sparkSession
     own = ids_and_bytes(docs, id_col, text_col)
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *keep) if keep else own
-    distinct = windows(benchmark, window).groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    distinct = cut(windows(benchmark, window).groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items")))  # written once, read for each block
     blocks = max(1, -(-distinct.count() // block))
     part = F.pmod(F.xxhash64("words"), F.lit(blocks))
     for b in range(blocks):
