@@ -79,12 +79,13 @@ def _closed(rows: DataFrame) -> DataFrame:
         F.min(F.coalesce(p.between(0, 1), F.lit(False))).alias("ok"), F.sum(F.when(p != 0.5, F.ln(F.abs(1 - 2 * p)))).alias("p_log"), flips(p > 0.5).alias("p_negative"), F.max(F.coalesce(p == 0.5, F.lit(False))).alias("p_half"),
     )
     least, low, total = F.min("least"), F.min("span"), F.sum(F.when(F.col("span") == 0, F.col("term")))
-    heavy = F.aggregate("spans", F.lit(0.0), lambda acc, x: acc + x["term"] * F.exp(-_SPAN * (x["span"] - F.col("low")).cast("double")))
+    heavy = F.aggregate(F.filter("spans", lambda x: x["span"] > 0), F.lit(0.0), lambda acc, x: acc + x["term"] * F.exp(-_SPAN * (x["span"] - F.col("low")).cast("double")))
     one = some.groupBy("k1", "k2").agg(
         F.min_by("place", "place.seq").alias("place"), F.sum("n").alias("n"), least.alias("least"), low.alias("low"), total.alias("total"), F.sum("negative").alias("negative"), F.collect_list(F.struct("span", "term")).alias("spans"),
         F.min("ok").alias("ok"), F.sum("p_log").alias("p_log"), F.sum("p_negative").alias("p_negative"), F.max("p_half").alias("p_half"),
     )
-    merged = F.when((F.col("n") == 1) | (F.col("least") == 0), F.col("least")).when(F.col("low") == 0, F.log1p(F.exp("total")) - F.ln(-F.expm1("total"))).otherwise(F.col("low") * _SPAN - F.ln(heavy))
+    light = F.col("total") - 2 * heavy
+    merged = F.when((F.col("n") == 1) | (F.col("least") == 0), F.col("least")).when(F.col("low") == 0, F.log1p(F.exp(light)) - F.ln(-F.expm1(light))).otherwise(F.col("low") * _SPAN - F.ln(heavy))
     sign = lambda c: F.when(F.col(c) % 2 == 1, -1.0).otherwise(1.0)
     chance = F.when(F.col("ok"), (1 - F.when(F.col("p_half"), F.lit(0.0)).otherwise(F.exp(F.coalesce("p_log", F.lit(0.0))) * sign("p_negative"))) / 2)
     return one.select("place.*", (merged * sign("negative")).alias("weight"), chance.alias("error_probability"))
