@@ -1,4 +1,8 @@
-"""Command line: predict, count_mistakes and animate over shot files."""
+"""Command line: predict, count_mistakes and animate over shot files.
+
+Files are read on the driver, as a pipe must be; with ``--spark`` predict and
+count_mistakes read, decode and write them as tables, whatever their size.
+"""
 
 from __future__ import annotations
 
@@ -23,6 +27,8 @@ def _arguments() -> argparse.ArgumentParser:
         p.add_argument("--in_format", default="b8", choices=FORMATS)
         p.add_argument("--in_includes_appended_observables", action="store_true")
         p.add_argument("--enable_correlations", action="store_true")
+        if name != "animate":
+            p.add_argument("--spark", action="store_true", help="read, decode and write as tables; --in, --obs_in and --out are paths of any file system")
         if name == "count_mistakes":
             p.add_argument("--obs_in")
             p.add_argument("--obs_in_format", default="01", choices=FORMATS)
@@ -57,6 +63,9 @@ def run(argv: list[str]) -> None:
     graph = Matching.from_detector_error_model(model, enable_correlations=args.enable_correlations)
     own = graph.compiled()
     appended = model.num_observables if args.in_includes_appended_observables else 0
+    if getattr(args, "spark", False):
+        _run_tables(args, model, graph, appended)
+        return
     # dets lines name their observables, so they need no count
     shots = list(parse(_bytes(args.in_), args.in_format, model.num_detectors, appended))
     if args.command == "animate":
@@ -84,6 +93,34 @@ def run(argv: list[str]) -> None:
         print(f"decoded {len(shots)} shots in {took:.3f} s, {1e6 * took / max(1, len(shots)):.1f} us a shot", file=sys.stderr)
 
 
+def _run_tables(args, model, graph: Matching, appended: int) -> None:
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
+
+    from .operators.decode import decode
+    from .operators.evaluate import summary
+    from .sinks.shots import write
+    from .sources.shots import read, zip_observables
+
+    if "-" in (args.in_, args.out if args.command == "predict" else "", getattr(args, "obs_in", None)):
+        raise ValueError("--spark needs paths, not pipes")
+    spark = SparkSession.builder.getOrCreate()
+    shots = read(spark, args.in_, args.in_format, model.num_detectors, appended)
+    if args.command == "count_mistakes" and args.obs_in and not appended:
+        own = read(spark, args.obs_in, args.obs_in_format, 0 if args.obs_in_format == "dets" else model.num_observables)
+        shots = zip_observables(shots, own.select("shot", F.concat("hits", "observables").alias("observables")))
+    elif args.command == "count_mistakes" and not appended and args.in_format != "dets":
+        raise ValueError("count_mistakes needs --obs_in or --in_includes_appended_observables")
+    found = decode(shots, graph, ("prediction",), enable_correlations=args.enable_correlations)
+    if args.command == "predict":
+        write(found, args.out, args.out_format)
+        return
+    ones = F.filter(F.transform("prediction", lambda x, i: F.when(x == 1, i.cast("long"))), lambda x: x.isNotNull())
+    wrong = ones != F.array_sort(F.array_distinct("observables"))
+    counted = found.agg(F.coalesce(F.sum(wrong.cast("long")), F.lit(0)).alias("mistakes"), F.count(F.lit(1)).alias("shots"))
+    _write(args.out, f"{summary(counted).first().summary}\n".encode())
+
+
 def main(argv: list[str] | None = None) -> int:
     try:
         run(sys.argv[1:] if argv is None else argv)

@@ -94,3 +94,29 @@ def decode_in_parts(shots: DataFrame, graph: Matching, key: str = "shot") -> Dat
     solved = parts.mapInArrow(run, f"`{key}` {kind}, mask long, weight_int long").groupBy(key).agg(F.bit_xor("mask").alias("mask"), F.sum("weight_int").alias("weight_int"))
     both = shots.select(key).join(solved, key, "left")
     return both.select(key, F.coalesce("mask", F.lit(0).cast("long")).bitwiseXOR(F.lit(own.negative_mask)).alias("mask"), (F.coalesce("weight_int", F.lit(0).cast("long")) + own.negative_sum).alias("weight_int"))
+
+
+def decode_windows(shots: DataFrame, graph: Matching, nodes: DataFrame, key: str = "shot") -> DataFrame:
+    """(key, first, last, mask, weight_int): what each window of time gives to each shot, exactly.
+
+    ``nodes`` (node, partition) deal the graph to windows.  A group of hits within
+    one window is solved there (first = last); a group that reaches over a border is
+    solved by the windows that it joins, fused (first to last).  Masks XORed and
+    weights added up over a shot's windows are those of the whole shot; negative edges are on no window.
+    """
+    own = graph.compiled()
+    shared = shots.sparkSession.sparkContext.broadcast(own)
+    kind = shots.schema[key].dataType.simpleString()
+    parts = split_shots(shots, graph, key)
+    place = nodes.select("node", "partition")
+    each = parts.select(key, "part", F.explode("hits").alias("node")).join(place, "node")
+    dealt = each.groupBy(key, "part").agg(F.min("partition").alias("first"), F.max("partition").alias("last"), F.sort_array(F.collect_list("node")).alias("hits")).repartition("first", "last", key)
+
+    def run(batches):
+        own = shared.value
+        for batch in batches:
+            found = [own.match(h) for h in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([m for _, m, _ in found], pa.int64()), pa.array([w for w, _, _ in found], pa.int64())], names=[key, "first", "last", "mask", "weight_int"])
+
+    solved = dealt.select(key, "first", "last", "hits").mapInArrow(run, f"`{key}` {kind}, first long, last long, mask long, weight_int long")
+    return solved.groupBy(key, "first", "last").agg(F.bit_xor("mask").alias("mask"), F.sum("weight_int").alias("weight_int"))

@@ -127,6 +127,15 @@ def p_decode_in_parts(spark, sf_dir):
     return _unkeyed(partition.decode_in_parts(_keyed(fx.shots(spark, sf_dir)).select("shot", "hits"), fx.torus_graph(spark, sf_dir)), "weight_int", "mask")
 
 
+@query("SELECT user_id, day, weight * 2 AS weight_int, mask FROM answers JOIN shots USING (user_id, day) WHERE len(hits) > 0", *_ANSWERS, recursive=True)
+def p_windows(spark, sf_dir):
+    """Groups of hits solved in windows of time, fused where they reach over a border, and added up."""
+    nodes = partition.partitions(partition.rounds(_nodes(spark, sf_dir)), 2)
+    found = partition.decode_windows(_keyed(fx.shots(spark, sf_dir)).select("shot", "hits"), fx.torus_graph(spark, sf_dir), nodes)
+    total = found.groupBy("shot").agg(F.sum("weight_int").alias("weight_int"), F.bit_xor("mask").alias("mask"))
+    return _unkeyed(total, "weight_int", "mask")
+
+
 @query("SELECT user_id, day, array_to_string(list_transform(range(0, 8), lambda i: CAST((mask >> CAST(i AS INT)) & 1 AS VARCHAR)), '') AS prediction, upper(format('{:02x}', mask)) AS packed, mask FROM answers", *_ANSWERS, recursive=True)
 def q_outputs(spark, sf_dir):
     """Q04, Q09-Q11: labels as a mask, as bits and as packed bytes."""

@@ -465,3 +465,23 @@ def l_predict(spark, sf_dir):
 def l_count_mistakes(spark, sf_dir):
     """The command count_mistakes."""
     return spark.createDataFrame([(_command(spark, sf_dir, "count_mistakes", "--obs_in", "{folder}/observables.dets", "--obs_in_format", "dets").strip(),)], "summary string")
+
+
+@query("SELECT format, shot, labels FROM predicted_text, (VALUES ('01'), ('hits'), ('dets')) AS f(format)", *_PREDICTED,
+    "predicted_text AS (SELECT shot, array_to_string(list_transform(list_filter(range(0, 8), lambda i: (mask >> CAST(i AS INT)) & 1 = 1), lambda i: CAST(i AS VARCHAR)), ',') AS labels FROM predicted)", recursive=True)
+def l_predict_tables(spark, sf_dir):
+    """Predict over tables, from and to the folder that executors share; what it wrote is read again."""
+    from .catalog import _model_text
+
+    folder, out = _folder(spark), None
+    _put(spark, f"{folder}/torus.dem", _model_text(spark, sf_dir).encode())
+    _put(spark, f"{folder}/shots.hits", "".join(",".join(map(str, h[:8])) + "\n" for h, _ in _patterns()).encode())
+    with tempfile.TemporaryDirectory() as own:  # the model is the command's own small file
+        with open(f"{own}/torus.dem", "w") as f:
+            f.write(spark.read.text(f"{folder}/torus.dem", wholetext=True).first().value)
+        for fmt in ("01", "hits", "dets"):
+            command(["predict", "--spark", "--dem", f"{own}/torus.dem", "--in", f"{folder}/shots.hits", "--in_format", "hits", "--out", f"{folder}/{fmt}", "--out_format", fmt])
+    for fmt in ("01", "hits", "dets"):
+        rows = sources.read(spark, f"{folder}/{fmt}", fmt, 0 if fmt == "dets" else 8, 0).select(F.lit(fmt).alias("format"), "shot", F.array_join(F.concat("hits", "observables"), ",").alias("labels"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
