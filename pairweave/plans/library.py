@@ -5,7 +5,9 @@ from __future__ import annotations
 import contextlib
 import io
 import os
+import sys
 import tempfile
+import types
 import uuid
 import warnings
 
@@ -242,20 +244,51 @@ def l_model_counts(spark, sf_dir):
     return spark.createDataFrame([(n, *c, m.num_detectors, m.num_observables) for n, c in m.coordinates.items()], "node long, x double, y double, t double, num_detectors long, num_observables long")
 
 
+@contextlib.contextmanager
+def _analyser(text: str):
+    """Stands in for the external analyser of circuits: every circuit has the given model."""
+    module = types.ModuleType("stim")
+    model = type("DetectorErrorModel", (), {"__str__": lambda self: text})
+
+    class Circuit:
+        def __init__(self, source: str = ""):
+            self.source = source
+
+        def detector_error_model(self, *, decompose_errors: bool):
+            return model() if decompose_errors and self.source.startswith("# circuit") else None
+
+    module.Circuit, module.DetectorErrorModel = Circuit, model
+    before = sys.modules.get("stim")
+    sys.modules["stim"] = module
+    try:
+        yield module
+    finally:
+        if before is None:
+            del sys.modules["stim"]
+        else:
+            sys.modules["stim"] = before
+
+
 _EDGES_OF_MODEL = """
 merged AS (SELECT edge, (1 - list_reduce(list(1 - 2 * p), lambda a, b: a * b)) / 2 AS p FROM errors GROUP BY edge),
 model_edges AS (SELECT least(node1, coalesce(node2, node1)) + 25 * round AS u, CASE WHEN node2 IS NULL THEN -1 ELSE greatest(node1, node2) + 25 * round END AS v, round(ln((1 - p) / p), 6) AS weight, round(p, 9) AS p, seq % 8 AS fault FROM merged JOIN torus ON seq = edge, range(0, 3) AS r(round))"""
 
 
-@query("SELECT how, u, v, weight, p, fault FROM model_edges, (VALUES ('text'), ('file'), ('constructor')) AS h(how)", fx.SQL_TORUS, fx.SQL_ERRORS, _EDGES_OF_MODEL)
+@query("SELECT how, u, v, weight, p, fault FROM model_edges, (VALUES ('text'), ('file'), ('constructor'), ('circuit'), ('circuit file'), ('circuit constructor')) AS h(how)", fx.SQL_TORUS, fx.SQL_ERRORS, _EDGES_OF_MODEL)
 def l_model_edges(spark, sf_dir):
-    """The uncorrelated graph of a model given as text and as a file."""
+    """The uncorrelated graph of a model given as text, as a file, and by a stand-in for the analyser of circuits."""
     text = _model(spark, sf_dir)
     with tempfile.TemporaryDirectory() as folder:  # the driver's own file, read by the driver
         path = os.path.join(folder, "torus.dem")
         with open(path, "w", encoding="utf-8") as f:
             f.write(text)
         graphs = {"text": Matching.from_detector_error_model(text), "file": Matching.from_detector_error_model_file(path), "constructor": Matching(text)}
+        with _analyser(text) as stim:
+            with open(os.path.join(folder, "torus.stim"), "w", encoding="utf-8") as f:
+                f.write("# circuit")
+            graphs["circuit"] = Matching.from_stim_circuit(stim.Circuit("# circuit"))
+            graphs["circuit file"] = Matching.from_stim_circuit_file(os.path.join(folder, "torus.stim"))
+            graphs["circuit constructor"] = Matching(stim.Circuit("# circuit"))
     out = [(how, min(u, u if v is None else v), -1 if v is None else max(u, v), round(d["weight"], 6), round(d["error_probability"], 9), min(d["fault_ids"])) for how, g in graphs.items() for u, v, d in g.edges()]
     return spark.createDataFrame(out, "how string, u long, v long, weight double, p double, fault long")
 
