@@ -179,3 +179,47 @@ def test_read_as_tables(spark, tmp_path):
 
 if __name__ == "__main__":
     sys.exit(pytest.main([__file__]))
+
+
+def test_commands_over_tables(spark, tmp_path, capsys):
+    """--spark gives what the commands give on the driver, from and to files of every format."""
+    r = np.random.default_rng(3)
+    (tmp_path / "m.dem").write_text(THREE)
+    shots = [([int(i) for i in np.flatnonzero(r.random(2) < 0.4)], [int(j) for j in np.flatnonzero(r.random(3) < 0.4)]) for _ in range(128)]
+    masks = [sum(1 << i for i in h) | sum(1 << (2 + j) for j in o) for h, o in shots]
+    base = ["--dem", str(tmp_path / "m.dem"), "--in_includes_appended_observables"]
+    for fmt in sources.FORMATS:
+        path = str(tmp_path / f"in.{fmt}")
+        with open(path, "wb") as f:
+            f.write(sinks.encode(masks, fmt, 5) if fmt != "dets" else "".join("shot" + "".join(f" D{i}" for i in h) + "".join(f" L{j}" for j in o) + "\n" for h, o in shots).encode())
+        both = []
+        for more in ([], ["--spark"]):
+            assert main(["count_mistakes", *base, "--in", path, "--in_format", fmt, *more]) == 0
+            both.append(capsys.readouterr().out)
+        assert both[0] == both[1] and both[0].endswith("/ 128\n")
+    assert main(["predict", *base, "--in", path, "--in_format", "dets"]) == 0
+    said = capsys.readouterr().out
+    assert main(["predict", *base, "--in", path, "--in_format", "dets", "--spark", "--out", str(tmp_path / "out")]) == 0
+    assert [x.line + "\n" for x in sources.numbered_lines(spark, str(tmp_path / "out")).orderBy("shot").collect()] == said.splitlines(True)
+    assert main(["predict", *base, "--spark"]) == 1
+
+
+QUICK = ["l_arguments", "l_boundary", "l_changed", "l_constructors", "l_count_mistakes", "l_decode", "l_guard", "l_model_edges", "l_model_rules", "l_predict", "q_correlated_edges", "q_dict", "q_negative", "h_bitpack", "e_interval"]
+
+
+@pytest.mark.parametrize("name", QUICK)
+def test_queries_against_duckdb(spark, name):
+    import duckdb
+
+    from pairweave.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for t in ("nation", "events", "lineitem", "orders", "customer", "supplier"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    cursor = db.execute(catalog.SQL[name])
+    names = [d[0] for d in cursor.description]
+    want = sorted(map(repr, (tuple(r[names.index(n)] for n in sorted(names)) for r in cursor.fetchall())))
+    df = catalog.QUERIES[name](spark, sf)
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(map(repr, (tuple(r[n] for n in sorted(names)) for r in df.collect()))) == want

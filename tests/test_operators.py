@@ -209,3 +209,19 @@ def test_streams(spark, tmp_path):
     q = shots_of_events(s).select("user_id", "hits").writeStream.format("memory").queryName("gathered").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(r.user_id, tuple(r.hits)) for r in spark.table("gathered").collect()} == {(1, (4,)), (2, (5,)), (2, (6,))}
+
+
+def test_windows_of_time_add_up(spark):
+    """Groups within a window are solved there, those over a border by the windows they join; together they are the whole shot."""
+    m, shots = random_matching(7), random_shots(spark, 8, 12)
+    nodes = spark.createDataFrame([(i, i // 3) for i in range(12)], "node long, partition long")
+    want = {r.shot: (r.mask, r.weight_int) for r in decode(shots, m, ("mask", "weight_int")).collect()}
+    found: dict[int, list] = {}
+    for r in partition.decode_windows(shots, m, nodes).collect():
+        assert 0 <= r.first <= r.last <= 3
+        found.setdefault(r.shot, []).append((r.mask, r.weight_int))
+    for shot, (_, weight) in want.items():
+        assert sum(w for _, w in found.get(shot, [])) == weight
+    assert max(map(len, found.values())) > 1
+    alone = partition.decode_windows(shots, m, nodes.withColumn("partition", F.lit(0).cast("long"))).collect()
+    assert all((r.first, r.last) == (0, 0) for r in alone) and {r.shot: r.weight_int for r in alone} == {k: w for k, (_, w) in want.items() if k in {r.shot for r in alone}}
