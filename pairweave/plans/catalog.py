@@ -352,6 +352,51 @@ def g_masks(spark, sf_dir):
     return of.select("fault", bits.mask_of(F.col("ids")).alias("mask"))
 
 
+# a graph that grows with the tables
+
+
+_LARGE = (fx.SQL_PARALLEL, fx.SQL_LARGE)
+
+
+@query("""SELECT node1 AS node, node2 AS other, abs(weight) AS weight, CAST(1 AS BIGINT) << CAST(fault AS INT) AS mask, weight < 0 AS negative FROM large
+UNION ALL SELECT node2, node1, abs(weight), CAST(1 AS BIGINT) << CAST(fault AS INT), weight < 0 FROM large WHERE node2 IS NOT NULL""", *_LARGE)
+def g_large_adjacency(spark, sf_dir):
+    """G04, G05, M05 on a graph of suppliers and customers."""
+    return prepare.adjacency(fx.large(spark, sf_dir))
+
+
+@query("SELECT count(*) AS num_edges, max(fault) + 1 AS num_fault_ids, CAST(max(abs(weight)) AS DOUBLE) AS max_abs_weight, max(greatest(node1, coalesce(node2, -1))) + 1 AS num_nodes FROM large", *_LARGE)
+def g_large_counts(spark, sf_dir):
+    """P05, P07, P08, P12."""
+    return lookup.counts(fx.large(spark, sf_dir)).select("num_edges", "num_fault_ids", "max_abs_weight", "num_nodes")
+
+
+@query("""SELECT sum(weight) AS negative_sum, bit_xor(CAST(1 AS BIGINT) << CAST(fault AS INT)) AS negative_mask, (SELECT count(*) FROM (SELECT node FROM (SELECT node1 AS node FROM large WHERE weight < 0 UNION ALL SELECT node2 FROM large WHERE weight < 0 AND node2 IS NOT NULL) GROUP BY node HAVING count(*) % 2 = 1)) AS toggled FROM large WHERE weight < 0""", *_LARGE)
+def g_large_negative(spark, sf_dir):
+    """G06."""
+    edges = fx.large(spark, sf_dir)
+    return prepare.negative_part(edges).crossJoin(F.broadcast(prepare.toggled_nodes(edges).agg(F.count(F.lit(1)).alias("toggled"))))
+
+
+@query("""SELECT seq, node1, node2, weight, fault FROM large WHERE node2 IS NOT NULL AND node2 % 7 <> 0
+UNION ALL SELECT seq, node1, NULL, weight, fault FROM large WHERE node2 IS NULL OR node2 % 7 = 0 QUALIFY row_number() OVER (PARTITION BY node1 ORDER BY weight, seq) = 1""", *_LARGE)
+def g_large_collapse(spark, sf_dir):
+    """Every seventh customer is a boundary node."""
+    node = (1_000_000 + F.col("c_custkey")).cast("long")
+    nodes = fx.table(spark, sf_dir, "customer").select(node.alias("node"), (node % 7 == 0).alias("is_boundary"))
+    return prepare.collapse_boundary(fx.large(spark, sf_dir), nodes).select("seq", "node1", "node2", "weight", F.col("fault_ids")[0].alias("fault"))
+
+
+@query("""SELECT o_orderkey, coalesce(found, false) AS there FROM (SELECT o_orderkey, CAST(1 + (o_orderkey * 7) % (SELECT count(*) FROM supplier) AS BIGINT) AS a, CAST(1000000 + o_custkey AS BIGINT) AS b FROM orders)
+LEFT JOIN (SELECT DISTINCT node1, node2, true AS found FROM large WHERE node2 IS NOT NULL) ON node1 = a AND node2 = b""", *_LARGE)
+def g_large_has_edge(spark, sf_dir):
+    """An order's customer and some supplier, asked for against the edge's direction."""
+    n = fx.table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("n"))
+    wanted = fx.table(spark, sf_dir, "orders").crossJoin(F.broadcast(n)).select("o_orderkey", (1_000_000 + F.col("o_custkey")).cast("long").alias("node1"), (1 + (F.col("o_orderkey") * 7) % F.col("n")).cast("long").alias("node2"))
+    there = lookup.has_edges(fx.large(spark, sf_dir), wanted.select("node1", "node2").distinct())
+    return wanted.join(there, ["node1", "node2"]).select("o_orderkey", "there")
+
+
 def _coordinates(spark, sf_dir):
     t = fx.torus(spark, sf_dir).select("seq", F.explode(F.array("node1", "node2")).alias("row")).filter("row IS NOT NULL")
     return t.select("row", F.col("seq").alias("col"), F.lit(1).alias("val"))

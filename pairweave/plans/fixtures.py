@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core.graph import Matching
+from ..operators.merge import merge
 
 NODES = 25
 
@@ -92,6 +93,17 @@ def parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("seq", "node1", "node2", (F.col("q") + F.col("d") / 16.0).cast("double").alias("weight"), p.cast("double").alias("error_probability"), F.array("fault").alias("fault_ids"))
 
 
+def large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph that grows with the tables: suppliers and customers (from a million on) as nodes, a line item a parallel edge, one in forty to the boundary; of parallel ones the least stays."""
+    p = parallel(spark, sf_dir)
+    part = F.split("seq", "-")
+    li = p.select("seq", part[2].cast("long").alias("partkey"), part[3].cast("long").alias("node1"), part[0].cast("long").alias("o_orderkey"), F.col("weight"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    both = li.join(o, "o_orderkey")
+    rows = both.select("seq", "node1", F.when(F.col("partkey") % 40 != 0, 1_000_000 + F.col("o_custkey")).cast("long").alias("node2"), (F.col("weight") - 20).alias("weight"), F.lit(None).cast("double").alias("error_probability"), F.array(F.col("partkey") % 32).alias("fault_ids"))
+    return merge(rows, "smallest-weight")
+
+
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """err, p, component, edge, node1, node2: all pairs of torus edges of equal seq % 5 as decomposed errors."""
     t = torus(spark, sf_dir).select("seq", "node1", "node2")
@@ -135,6 +147,14 @@ parallel AS (
          CAST(0.01 AS DOUBLE) + CAST(round(l_discount * 100) AS BIGINT) / CAST(1000.0 AS DOUBLE) AS error_probability
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
 
+SQL_LARGE = """
+large0 AS (
+  SELECT p.seq, CAST(string_split(p.seq, '-')[4] AS BIGINT) AS node1, CASE WHEN CAST(string_split(p.seq, '-')[3] AS BIGINT) % 40 <> 0 THEN CAST(1000000 + o_custkey AS BIGINT) END AS node2,
+         p.weight - 20 AS weight, CAST(string_split(p.seq, '-')[3] AS BIGINT) % 32 AS fault
+  FROM parallel p JOIN orders ON o_orderkey = CAST(string_split(p.seq, '-')[1] AS BIGINT)),
+large AS (
+  SELECT min(seq) AS seq, node1, node2, arg_min(weight, (weight, seq)) AS weight, arg_min(fault, (weight, seq)) AS fault FROM (SELECT *, coalesce(node2, -1) AS k2 FROM large0) GROUP BY node1, node2, k2)"""
+
 SQL_ERRORS = """
 pairs AS (
   SELECT a.seq * 100 + b.seq AS err, a.seq AS aseq, a.node1 AS a1, a.node2 AS a2, b.seq AS bseq, b.node1 AS b1, b.node2 AS b2
