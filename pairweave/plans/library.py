@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import io
+import math
 import os
 import sys
 import tempfile
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..cli import run as command
 from ..core.graph import STRATEGIES, Matching
 from ..operators.decode import decode
+from ..operators.sampling import rand_float, randomize, set_seed
 from ..sinks import drawing
 from ..sinks.shots import encode
 from ..sources import error_model
@@ -216,6 +218,38 @@ def l_drawing(spark, sf_dir):
     return spark.createDataFrame(out, "node long, lines long, circles long, red long, frames int")
 
 
+# random numbers
+
+
+@query("""SELECT 'node' AS what, CAST(n_nationkey AS BIGINT) AS id, (SELECT count(*) FROM torus WHERE seq % 3 = 0 AND n_nationkey IN (node1, coalesce(node2, -1))) % 2 AS bit FROM nation
+UNION ALL SELECT 'label', f, (SELECT count(*) FROM torus WHERE seq % 3 = 0 AND fault = f) % 2 FROM range(0, 8) AS r(f)""", fx.SQL_TORUS)
+def r_certain(spark, sf_dir):
+    """Noise of edges that always or never fail."""
+    g = Matching()
+    for r in _rows(spark, sf_dir):
+        p = float(r.seq % 3 == 0)
+        g.add_boundary_edge(r.node1, set(r.fault_ids), error_probability=p) if r.node2 is None else g.add_edge(r.node1, r.node2, set(r.fault_ids), error_probability=p)
+    faults, syndrome = g.add_noise()
+    return spark.createDataFrame([("node", i, int(x)) for i, x in enumerate(syndrome)] + [("label", i, int(x)) for i, x in enumerate(faults)], "what string, id long, bit long")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS seed, CAST(n_nationkey AS BIGINT) AS whole, CAST(1 AS BIGINT) AS n_values FROM nation UNION ALL SELECT -1, -1, 25")
+def r_seeds(spark, sf_dir):
+    """Numbers between a seed and the next one: the same one for the same seed, others after reseeding at random."""
+    out = []
+    for k in range(25):
+        drawn = set()
+        for _ in range(3):
+            set_seed(k)
+            drawn.add(rand_float(k, k + 1))
+        out.append((k, math.floor(min(drawn)), len(drawn)))
+    fresh = set()
+    for _ in range(25):
+        randomize()
+        fresh.add(rand_float(-1, 0))
+    return spark.createDataFrame([*out, (-1, math.floor(min(fresh)), len(fresh))], "seed long, whole long, n_values long")
+
+
 # models
 
 
