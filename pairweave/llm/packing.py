@@ -9,12 +9,13 @@ searched in a segment tree over the possible remaining capacities.
 
 A packed row has ids (int32, little-endian, padded to ``capacity``), cu_seqlens
 (cumulative segment lengths from 0), positions (int32, starting at 0 in every
-segment, 0 in the padding) and the doc_ids and offsets of its segments, from
-which ``unpack`` gives every document back.
+segment, 0 in the padding) and the doc_ids, offsets and input_rows of its
+segments, from which ``unpack`` gives every document back.
 
-Null and empty texts have no tokens and no piece.  Repeated rows are packed each
-by itself; their pieces can't be told apart, as they have equal doc_id, offset
-and length if the rows are equal.  Other columns are not read.
+Null and empty texts have no tokens and no piece.  Repeated rows, and rows of
+equal doc_id, are packed each by itself; input_rows, a number of the row among
+those of its task, tells their pieces apart.  Pools follow the partitions of the
+table, so other file splits give other rows of the same documents.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def _pack(pieces: list, capacity: int, shard: int, pad: int) -> pa.RecordBatch:
-    pieces.sort(key=lambda x: (-len(x[2]), x[0] is None, x[0] or 0, x[1]))
+    pieces.sort(key=lambda x: (-len(x[2]), x[0] is None, x[0] or 0, x[1], x[3]))
     rows = best_fit([len(x[2]) for x in pieces], capacity)
     ids = np.full((len(rows), capacity), pad, "<i4")
     positions = np.zeros((len(rows), capacity), "<i4")
@@ -94,7 +95,7 @@ def _pack(pieces: list, capacity: int, shard: int, pad: int) -> pa.RecordBatch:
     for r, members in enumerate(rows):
         at, cut = 0, [0]
         for i in members:
-            doc, offset, own = pieces[i]
+            own = pieces[i][2]
             ids[r, at : at + len(own)] = own
             positions[r, at : at + len(own)] = np.arange(len(own))
             at += len(own)
@@ -111,6 +112,7 @@ def _pack(pieces: list, capacity: int, shard: int, pad: int) -> pa.RecordBatch:
             "positions": pa.array([x.tobytes() for x in positions], pa.binary()),
             "doc_ids": pa.array(docs, pa.list_(pa.int64())),
             "offsets": pa.array(offsets, pa.list_(pa.int64())),
+            "input_rows": pa.array([[pieces[i][3] for i in members] for members in rows], pa.list_(pa.int64())),
         }
     )
 
@@ -129,11 +131,13 @@ def pack(df: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, pool:
         encode = _held[name].encode_to_numpy
         pieces, held = [], 0
         shard = TaskContext.get().partitionId() << 24
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
                 ids = encode(text.decode("utf-8", "replace"), disallowed_special=()).astype("<i4")
+                row += 1
                 for at in range(0, len(ids), capacity):
-                    pieces.append((doc, at, ids[at : at + capacity]))
+                    pieces.append((doc, at, ids[at : at + capacity], row))
                     held += len(pieces[-1][2])
                     if held >= pool:
                         yield _pack(pieces, capacity, shard, pad)
@@ -141,13 +145,14 @@ def pack(df: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, pool:
         if pieces:
             yield _pack(pieces, capacity, shard, pad)
 
-    return batched(ids_and_bytes(df, id_col, text_col), run, "shard long, row long, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<long>, offsets array<long>")
+    return batched(ids_and_bytes(df, id_col, text_col), run, "shard long, row long, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<long>, offsets array<long>, input_rows array<long>")
 
 
 def unpack(packed: DataFrame) -> DataFrame:
-    """doc_id, offset and the ids (binary) of every segment: ordered by offset, a document's are its ids."""
-    each = packed.select("ids", F.posexplode(F.arrays_zip("doc_ids", "offsets", F.slice("cu_seqlens", F.lit(1), F.size("doc_ids")).alias("at"), F.slice("cu_seqlens", F.lit(2), F.size("doc_ids")).alias("to"))).alias("i", "x"))
-    return each.select(F.col("x.doc_ids").alias("doc_id"), F.col("x.offsets").alias("offset"), F.substring("ids", F.col("x.at") * 4 + 1, (F.col("x.to") - F.col("x.at")) * 4).alias("ids"))
+    """doc_id, input_row, offset and the ids (binary) of every segment: ordered by offset, an input row's are its ids."""
+    ends = [F.slice("cu_seqlens", F.lit(k), F.size("doc_ids")).alias(name) for k, name in ((1, "at"), (2, "to"))]
+    each = packed.select("ids", F.explode(F.arrays_zip("doc_ids", "input_rows", "offsets", *ends)).alias("x"))
+    return each.select(F.col("x.doc_ids").alias("doc_id"), F.col("x.input_rows").alias("input_row"), F.col("x.offsets").alias("offset"), F.substring("ids", F.col("x.at") * 4 + 1, (F.col("x.to") - F.col("x.at")) * 4).alias("ids"))
 
 
 def digest(packed: DataFrame) -> DataFrame:

@@ -195,3 +195,13 @@ def test_packing_round_trip(docs, reference, capacity, pool):
     assert sum(len(x) for x in by.values()) == sum(-(-len(reference.encode_ordinary(d.text or "")) // capacity) for d in docs.collect())
     assert packing.pack(docs.limit(0), PATH, PATTERN).count() == 0
     assert {"shard", "row", "doc_ids", "n_padding"} <= set(packing.digest(packed).columns)
+
+
+def test_rows_of_equal_doc_id_are_told_apart(spark, reference):
+    texts = ["one two three four five " * 40, "six seven eight nine ten " * 40, "one two three four five " * 40, "", None]
+    df = spark.createDataFrame([(7, t) for t in texts], "doc_id long, text string").coalesce(1)
+    rows = {}
+    for r in packing.unpack(packing.pack(df, PATH, PATTERN, capacity=16, pool=100)).collect():
+        rows.setdefault(r.input_row, []).append((r.offset, bytes(r.ids)))
+    got = sorted(b"".join(x for _, x in sorted(own)) for own in rows.values())
+    assert got == sorted(np.array(reference.encode_ordinary(t), "<i4").tobytes() for t in texts if t)
