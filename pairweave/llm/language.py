@@ -17,7 +17,7 @@ Null texts and texts without a letter are ``und``, score 0, without spans; so is
 every text if there is no labelled row.  Ties go to the language first in
 alphabetical order.  Rows are independent, repeated rows get equal results;
 a null doc_id is never held out and never learned from.  A long text is worked
-through in pieces of at most a megabyte, which keep a bit a word and language and
+through in pieces of at most 256 KB, which keep a bit a word and language and
 the best label a word, so paths are exact and memory is some 30 bytes a word.
 """
 
@@ -118,7 +118,7 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return start, end, row, np.bitwise_or.reduceat(scripts[at], where), np.add.reduceat(letters[at], where), whole, trigram, where
 
 
-def _pieces(data: np.ndarray, offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _pieces(data: np.ndarray, offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of rows' bytes that end at rows or between words."""
     at, n = 0, len(data)
     while at < n:
@@ -161,7 +161,7 @@ class Model:
     def pieces(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Words' start, end, row, letters and score a language, piece by piece."""
         width = self.log.shape[1]
-        for a, b in _pieces(data, offsets, min(1 << 20, max(1 << 14, (1 << 25) // width))):
+        for a, b in _pieces(data, offsets, min(1 << 18, max(1 << 14, (1 << 23) // width))):
             start, end, row, script, letters, whole, trigram, where = _features(data[a:b], np.clip(offsets - a, 0, b - a))
             if len(start):
                 row = np.searchsorted(offsets, start + a, side="right") - 1

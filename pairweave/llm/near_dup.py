@@ -267,7 +267,7 @@ def grouped(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     keyed = contents.select("node", F.explode("bands").alias("key")).distinct()
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     met = cut(keyed.join(shared, "key"), paths)
-    involved = contents.join(met.select("node").distinct(), "node").select("node", "row.k", "row.h", "n")
+    involved = cut(contents.join(met.select("node").distinct(), "node").select("node", "row.k", "row.h", "n"), paths)
     found = salted_join(own.select("k", "h", "text"), involved, ["k", "h"], "n", F.monotonically_increasing_id())
     texts = cut(found.groupBy("node").agg(F.first("text").alias("text")), paths)  # of repeated rows one, summed up before they are shuffled
     able, partners = _able(texts, idf, threshold, paths)
@@ -308,9 +308,9 @@ def grouped(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         pairs = crossing.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
         turn += 1
 
-    groups = contents.select("c1", "c2", "n", "least", "node").join(comp, "node", "left").withColumn("group", F.coalesce("comp", "node"))
+    groups = cut(contents.select("c1", "c2", "n", "least", "node").join(comp, "node", "left").withColumn("group", F.coalesce("comp", "node")), paths)
     named = groups.groupBy("group").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("m"))
-    final = salted_join(groups.select("c1", "c2", "n", "group"), named, ["group"], "m", F.col("c1"))
+    final = cut(salted_join(groups.select("c1", "c2", "n", "group"), named, ["group"], "m", F.col("c1")), paths)
     some = salted_join(with_words.drop("bands"), final, ["c1", "c2"], "n", F.monotonically_increasing_id()).select("doc_id", "k", "h", "group", "class_id")
     null = F.lit(None).cast("long")
     none = signed.filter("bands IS NULL").select("doc_id", "k", "h", null.alias("group"), null.alias("class_id"))
