@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 19
+CHUNK = 1 << 20
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
