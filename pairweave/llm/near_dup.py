@@ -2,6 +2,15 @@
 
 A text is its words (see ``words``); its features are the five-word shingles
 (all its words if it has fewer), weighted (1 + ln tf) * ln(e + N / df).
+df counts groups of copies rather than copies: a text adds 1 / m to it and to N,
+m being how many texts are about the same.  Otherwise what a large group of near
+copies shares would weigh little and its members' own edits much, the more so the
+larger the group and the corpus.  m is the largest count among the text's ``MINIMA``
+least hashes of shingles, 1 at least: a near copy has eight or nine in ten of them
+in common with the text it was made from, so next to none counts as a text of its
+own.  The counts are kept by hash in ``SLOTS`` slots a least hash, less what others
+add to a slot on average; the scatter that is left makes m larger for all texts alike.
+
 df is that of the shingle, from a sketch of fixed size: each of ``SKETCHES`` rows
 sums df by hash into ``BUCKETS`` buckets, what other shingles add to a bucket on
 average is taken off, and the middle one of the rows' values counts, 1 at least.
@@ -35,7 +44,7 @@ class.  Other columns aren't read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +60,7 @@ from .words import mix, row_shingles, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 BUCKETS, SKETCHES, PIECE = 1 << 18, 3, 1 << 14
+MINIMA, SLOTS, UNIT = 8, 1 << 18, 1 << 20
 REPEATS, BINS, ROWS = 4, 25, 5
 HUBS, PIVOTS = 3, 8
 
@@ -84,23 +94,21 @@ def _buckets(shingle: np.ndarray) -> list[np.ndarray]:
 
 
 def weights(shingle: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Multiples of 2^-16, so sums are exact in any order and a similarity that is just the threshold counts as such."""
     a, b, c = (row[at] for row, at in zip(idf, _buckets(shingle)))
-    return (1 + np.log(tf)) * np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
+    return np.rint((1 + np.log(tf)) * np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)) * 65536) / 65536
 
 
-def document_frequencies(own: DataFrame) -> np.ndarray:
-    """The sketch's rows, each the sums of df by bucket with N after them; SKETCHES * BUCKETS numbers reach the driver, in pieces."""
-    width = BUCKETS + PIECE  # N has a piece of its own
+def _summed(own: DataFrame, length: int, add_to: Callable[[np.ndarray, np.ndarray, np.ndarray, int], None]) -> np.ndarray:
+    """``length`` sums over all texts; ``add_to`` adds those of some texts, given as row and shingle of their distinct shingles.  They reach the driver in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((SKETCHES, width), np.int64)
+        total = np.zeros(length, np.int64)
         for batch in batches:
             at, data = views(batch.column(0))
             for i, j in row_groups(at):
-                _, shingle, _, _, _ = features(data[at[i] : at[j]], at[i : j + 1])
-                for row, bucket in zip(total, _buckets(shingle)):
-                    row[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
-            total[:, BUCKETS] += batch.num_rows
+                of, shingle, _, _, _ = features(data[at[i] : at[j]], at[i : j + 1])
+                add_to(total, of, shingle, j - i)
         pieces = total.reshape(-1, PIECE)
         k = np.flatnonzero(pieces.any(1))
         yield pa.RecordBatch.from_pydict({"piece": pa.array(k.astype(np.int32)), "sums": pa.array([pieces[x].tobytes() for x in k], pa.binary())})
@@ -112,14 +120,54 @@ def document_frequencies(own: DataFrame) -> np.ndarray:
         return pa.table({"piece": table.column("piece")[:1], "sums": pa.array([sums.tobytes()], pa.binary())})
 
     got = batched(own.select("text"), run, "piece int, sums binary").groupBy("piece").applyInArrow(add, "piece int, sums binary").toArrow()
-    out = np.zeros((SKETCHES, width), np.int64)
+    out = np.zeros(length, np.int64)
     for k, x in zip(got.column("piece").to_pylist(), got.column("sums").to_pylist()):
         out.reshape(-1, PIECE)[k] = np.frombuffer(x, np.int64)
-    return out[:, : BUCKETS + 1]
+    return out
+
+
+def _slots(of: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The rows that have shingles, and the slots of their least hashes."""
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    if not len(first):
+        return first, [first] * MINIMA
+    least = [np.minimum.reduceat(mix(shingle ^ np.uint64((0x9FB21C651E98DF25 * (m + 1)) % 2**64)), first) for m in range(MINIMA)]
+    return of[first], [(mix(x) % np.uint64(SLOTS)).astype(np.int64) + m * SLOTS for m, x in enumerate(least)]
+
+
+def group_sizes(own: DataFrame) -> np.ndarray:
+    """MINIMA * SLOTS counts of texts by their least hashes, less what others add to a slot on average, 1 at least."""
+
+    def add_to(total: np.ndarray, of: np.ndarray, shingle: np.ndarray, n: int) -> None:
+        for slot in _slots(of, shingle)[1]:
+            np.add.at(total, slot, 1)
+
+    counts = _summed(own, MINIMA * SLOTS, add_to)
+    others = (counts[:SLOTS].sum() - counts) / (SLOTS - 1)
+    return np.maximum(counts - others, 1).astype(np.float32)
+
+
+def document_frequencies(own: DataFrame) -> np.ndarray:
+    """The sketch's rows, each the sums of df by bucket with N after them, in groups of copies; SKETCHES * BUCKETS numbers reach the driver."""
+    width = BUCKETS + PIECE  # N has a piece of its own
+    sizes = own.sparkSession.sparkContext.broadcast(group_sizes(own))  # MINIMA * SLOTS floats, 8 MB
+
+    def add_to(total: np.ndarray, of: np.ndarray, shingle: np.ndarray, n: int) -> None:
+        rows, slots = _slots(of, shingle)
+        share = np.full(n, UNIT)  # whole numbers, so the order of sums doesn't matter
+        share[rows] = np.maximum(np.rint(UNIT / np.maximum.reduce([sizes.value[x] for x in slots])), 1)
+        total = total.reshape(SKETCHES, width)
+        for row, bucket in zip(total, _buckets(shingle)):
+            row[:BUCKETS] += np.bincount(bucket, share[of], minlength=BUCKETS).astype(np.int64)
+        total[:, BUCKETS] += share.sum()
+
+    out = _summed(own, SKETCHES * width, add_to).reshape(SKETCHES, width)[:, : BUCKETS + 1] / UNIT
+    sizes.destroy()
+    return out
 
 
 def inverse_frequencies(df: np.ndarray) -> np.ndarray:
-    sums, n = df[:, :BUCKETS].astype(np.float64), float(df[0, BUCKETS])
+    sums, n = df[:, :BUCKETS], float(df[0, BUCKETS])
     others = (sums.sum(1, keepdims=True) - sums) / (BUCKETS - 1)
     own = np.clip(sums - others, 1, max(n, 1))
     return np.log(np.e + n / own)

@@ -237,6 +237,20 @@ def test_weights_by_document_frequency(spark):
     assert np.median(rare) > 0.95 * want(1)
 
 
+def test_large_groups_of_near_copies(spark):
+    """Copies of one text with a word of their own each: what they share must not weigh less because they are many."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    base, rows = [word() for _ in range(120)], [" ".join(word() for _ in range(120)) for _ in range(900)]
+    for _ in range(300):  # any two share 106 of 126 shingles or more
+        own = list(base)
+        own[r.randrange(len(base))] = word()
+        rows.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    of = {x.doc_id: x.class_id for x in near_dup.classes(df).collect()}
+    assert all(of[i] == min(i, 900) for i in range(len(rows)))
+
+
 def test_near_duplicate_edge_cases(spark):
     rows = [(5, "a b c d e f g"), (3, "A b, c d e f g!"), (5, "a b c d e f g"), (9, None), (8, ""), (7, ""), (None, "a b c d e f g")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
