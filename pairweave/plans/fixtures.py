@@ -53,7 +53,8 @@ def complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """node1, node2 (null: boundary), weight: an edge between any two nations and to the boundary, all from 2^23 to 2^24.
 
     Two edges weigh more than any one, so the cheapest way is the edge itself and
-    doesn't lead over other hits: here the optimum's pairs are unique, too.
+    doesn't lead over other hits: here the pairs of an optimum are unique, too.  Sums of
+    edges may tie, though: 5 of 39,601 shots at sf0.1 have two optima, none at sf0.01.
     """
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("node1"))
     every = n.select("node1", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(NODES).cast("long"))).alias("to")).filter("to > node1")
