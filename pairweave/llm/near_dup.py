@@ -219,7 +219,7 @@ def bands(sample: np.ndarray) -> np.ndarray:
 
 
 def _signatures(own: DataFrame, idf: Broadcast) -> DataFrame:
-    """The columns of ``own`` but the text, c1 and c2 (content), bands (null for texts without words)."""
+    """The columns of ``own`` but the text, c1 and c2 (content), weight (of all shingles), bands (null for texts without words)."""
     kept = [c for c in own.columns if c != "text"]
     own_at = {c: k for k, c in enumerate(own.columns)}
     at_text = own_at["text"]
@@ -230,15 +230,16 @@ def _signatures(own: DataFrame, idf: Broadcast) -> DataFrame:
             parts = []
             for i, j in row_groups(at):
                 of, shingle, tf, c1, c2 = features(data[at[i] : at[j]], at[i : j + 1])
-                key = bands(samples(of, shingle, weights(shingle, tf, idf.value), j - i))
-                parts.append((c1, c2, key, np.bincount(of, minlength=j - i) > 0))
+                weight = weights(shingle, tf, idf.value)
+                key = bands(samples(of, shingle, weight, j - i))
+                parts.append((c1, c2, np.bincount(of, weight, j - i), key, np.bincount(of, minlength=j - i) > 0))
             if parts:
-                c1, c2, key, some = (np.concatenate(x) for x in zip(*parts))
+                c1, c2, total, key, some = (np.concatenate(x) for x in zip(*parts))
                 size = np.concatenate([[0], np.cumsum(np.full(len(key), key.shape[1]))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(size), pa.array(key.reshape(-1)), mask=pa.array(~some))
-                yield pa.RecordBatch.from_pydict({c: batch.column(own_at[c]) for c in kept} | {"c1": pa.array(c1.astype(np.int64)), "c2": pa.array(c2.astype(np.int64)), "bands": lists})
+                yield pa.RecordBatch.from_pydict({c: batch.column(own_at[c]) for c in kept} | {"c1": pa.array(c1.astype(np.int64)), "c2": pa.array(c2.astype(np.int64)), "weight": pa.array(total.astype(np.float64)), "bands": lists})
 
-    return batched(own, run, ", ".join(f"{c} long" for c in kept) + ", c1 long, c2 long, bands array<long>")
+    return batched(own, run, ", ".join(f"{c} long" for c in kept) + ", c1 long, c2 long, weight double, bands array<long>")
 
 
 def _similarities(pairs: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFrame:
@@ -246,7 +247,7 @@ def _similarities(pairs: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFra
 
     def with_text(rows: DataFrame, side: str, other: str) -> DataFrame:
         many = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n"))  # a pivot has as many pairs as its buckets have members
-        return salted_join(rows, texts.select(F.col("node").alias(side), F.col("text").alias("text_" + side)).join(many, side), [side], "n", F.col(other))
+        return salted_join(rows, texts.select(F.col("node").alias(side), F.col("text").alias("text_" + side)), [side], "n", F.col(other), counts=many)
 
     two = with_text(with_text(pairs, "b", "a"), "a", "b").select("a", "b", "text_a", "text_b")
 
@@ -309,57 +310,55 @@ def grouped(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     idf = spark.sparkContext.broadcast(inverse_frequencies(document_frequencies(own)))  # SKETCHES * BUCKETS floats, 6 MB
     signed = cut(_signatures(own, idf), paths)
     with_words = signed.filter("bands IS NOT NULL")
-    merged = with_words.groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), F.min(F.struct("k", "h")).alias("row"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    merged = with_words.groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), F.min(F.struct("k", "h")).alias("row"), F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     contents = cut(merged.withColumn("node", F.monotonically_increasing_id()), paths)  # written, so that each text keeps its number
 
-    keyed = contents.select("node", F.explode("bands").alias("key")).distinct()
+    keyed = contents.select("node", F.explode(F.array_distinct("bands")).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     met = cut(keyed.join(shared, "key"), paths)
-    involved = contents.join(met.select("node").distinct(), "node").select("node", "row.k", "row.h", "n")
-    found = salted_join(own.select("k", "h", "text"), involved, ["k", "h"], "n", F.monotonically_increasing_id())
-    texts = cut(found.groupBy("node").agg(F.first("text").alias("text")), paths)  # of repeated rows one, summed up before they are shuffled
-    able, partners = _able(texts, idf, threshold, paths)
+    involved = cut(contents.join(met.select("node").distinct(), "node", "left_semi").select("node", "row.k", "row.h", "weight", "bands"), paths)
+    rows = own.groupBy("k", "h").agg(F.first("text").alias("text"))  # of repeated rows one, in each task before they are shuffled
+    texts = cut(rows.join(involved.select("node", "k", "h"), ["k", "h"]).select("node", "text"), paths)
+    able, partners = _able(texts, involved, idf, threshold, paths)
     members = met.join(able, "node")
     first = members.groupBy("key").agg(F.min(F.struct("lone", "node")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = cut(members.join(first.select("key", F.col("least.node").alias("least")), "key"), paths)
 
-    # what two texts share is at most what either has beside its own; so is their similarity
-    def possible(own: str, other: str):
-        both = F.least(F.col("w") * (1 - F.col(other)), F.col("weight") * (1 - F.col(own)))
-        return both >= (threshold - 1e-9) * (F.col("w") + F.col("weight") - both)
-
+    possible = lambda own, other: _possible(own, other, threshold)
     second = lambda node: able.select(F.col("node").alias(node), F.col("weight").alias("w"), F.col("lone").alias("l"), F.col("rare").alias("r"))
     leading = members.filter("node <> least").join(second("least"), "least").filter(possible("rare", "r")).select(F.least("least", "node").alias("a"), F.greatest("least", "node").alias("b"))
-    paired = partners.join(able.withColumnRenamed("node", "a"), "a").join(second("b"), "b").filter(possible("lone", "l")).select("a", "b")
+    paired = partners.join(able.withColumnRenamed("node", "a").drop("bands"), "a").join(second("b"), "b").filter(possible("lone", "l")).select("a", "b")
     pairs = leading.unionByName(paired).distinct()
     comp = contents.select("node", F.col("node").alias("comp")).limit(0)
-    tested = pairs.limit(0)
+    tested: list[str] = []
+    chosen: list[str] = []
     used = members.filter("node = least").select("key", "node")
     turn = 0
     while True:
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"), paths)
+        if tested:
+            pairs = pairs.join(spark.read.schema(pairs.schema).parquet(*tested), ["a", "b"], "left_anti")
+        pairs = cut(pairs, paths)
+        tested.append(paths[-1])
         scored = cut(_similarities(pairs, texts, idf), paths)
-        tested = cut(tested.unionByName(pairs), paths)
         comp = _joined(comp, scored.filter(F.col("similarity") >= threshold).select("a", "b"), paths)
 
-        placed = members.select("key", "node", "lone", "rare", "weight").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        placed = members.select("key", "node", "lone", "rare", "weight", "bands").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.count(F.lit(1)).alias("comps"))
         open_ = cut(placed.join(sizes.filter("comps > 1").select("key", "main"), "key"), paths)
-        fresh = open_.join(used, ["key", "node"], "left_anti")
+        earlier = used.unionByName(spark.read.schema(used.schema).parquet(*chosen)) if chosen else used
+        fresh = open_.join(earlier, ["key", "node"], "left_anti")
         take = HUBS if turn == 0 else PIVOTS << min(turn, 20)
         pivots = cut(_few(fresh if turn == 0 else fresh.filter("comp <> main"), take), paths)
+        chosen.append(paths[-1])
         if pivots.isEmpty():
             break
-        used = cut(used.unionByName(pivots.select("key", "node")), paths)
-        ends = pivots.select("key", F.col("node").alias("p"), F.col("comp").alias("p_comp"), F.col("weight").alias("w"), F.col("rare").alias("r"))
-        crossing = ends.join(open_, "key").filter((F.col("comp") != F.col("p_comp")) & possible("rare", "r"))
-        pairs = crossing.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+        pairs = _crossing(pivots, open_, threshold)
         turn += 1
 
     groups = contents.select("c1", "c2", "n", "least", "node").join(comp, "node", "left").withColumn("group", F.coalesce("comp", "node"))
     named = groups.groupBy("group").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("m"))
     final = salted_join(groups.select("c1", "c2", "n", "group"), named, ["group"], "m", F.col("c1"))
-    some = salted_join(with_words.drop("bands"), final, ["c1", "c2"], "n", F.monotonically_increasing_id()).select("doc_id", "k", "h", "group", "class_id")
+    some = salted_join(with_words.drop("bands", "weight"), final.drop("n"), ["c1", "c2"], "n", F.monotonically_increasing_id(), counts=contents.select("c1", "c2", "n")).select("doc_id", "k", "h", "group", "class_id")
     null = F.lit(None).cast("long")
     none = signed.filter("bands IS NULL").select("doc_id", "k", "h", null.alias("group"), null.alias("class_id"))
     out = cut(some.unionByName(none))
@@ -368,8 +367,8 @@ def grouped(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     return out
 
 
-def _able(texts: DataFrame, idf: Broadcast, threshold: float, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-    """node, weight (its total), lone and rare (the shares of it in shingles that no other text has, and one other at most), where lone leaves room for the threshold; and (a, b), those that are each other's only ones for some shingle."""
+def _able(texts: DataFrame, involved: DataFrame, idf: Broadcast, threshold: float, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """node, weight and bands (from ``involved``), lone and rare (the shares of the weight in shingles that no other text has, and one other at most), where lone leaves room for the threshold; and (a, b), those that are each other's only ones for some shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,9 +378,9 @@ def _able(texts: DataFrame, idf: Broadcast, threshold: float, paths: list[str])
                 of, shingle, tf, _, _ = features(data[at[i] : at[j]], at[i : j + 1])
                 weight = weights(shingle, tf, idf.value)
                 total = np.bincount(of, weight, j - i)
-                yield pa.RecordBatch.from_pydict({"shingle": pa.array(shingle.astype(np.int64)), "node": pa.array(node[i:j][of]), "share": pa.array(weight / total[of]), "weight": pa.array(total[of])})
+                yield pa.RecordBatch.from_pydict({"shingle": pa.array(shingle.astype(np.int64)), "node": pa.array(node[i:j][of]), "share": pa.array(weight / total[of])})
 
-    rows = batched(texts.select("node", "text"), run, "shingle long, node long, share double, weight double")
+    rows = batched(texts.select("node", "text"), run, "shingle long, node long, share double")
     ends = rows.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.min_by("share", "node").alias("a_share"), F.max_by("share", "node").alias("b_share"), F.count(F.lit(1)).alias("n"))
     few = cut(ends.filter("a = b OR n = 2").drop("shingle", "n"), paths)
     one = few.filter("a = b").select(F.col("a").alias("node"), F.col("a_share").alias("lone"), F.col("a_share").alias("rare"))
@@ -389,21 +388,28 @@ def _able(texts: DataFrame, idf: Broadcast, threshold: float, paths: list[str])
     two = few.filter("a <> b").select(of.alias("x")).select("x.node", F.lit(0.0).alias("lone"), "x.rare")
     lone = one.unionByName(two).groupBy("node").agg(F.sum("lone").alias("lone"), F.sum("rare").alias("rare"))
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, data = views(batch.column(1))
-            parts = []
-            for i, j in row_groups(at):
-                of, shingle, tf, _, _ = features(data[at[i] : at[j]], at[i : j + 1])
-                parts.append(np.bincount(of, weights(shingle, tf, idf.value), j - i))
-            if parts:
-                yield pa.RecordBatch.from_pydict({"node": batch.column(0), "weight": pa.array(np.concatenate(parts))})
-
-    total = batched(texts.select("node", "text"), sizes, "node long, weight double").groupBy("node").agg(F.max("weight").alias("weight"))
-    able = total.join(lone, "node", "left").select("node", "weight", F.coalesce("lone", F.lit(0.0)).alias("lone"), F.coalesce("rare", F.lit(0.0)).alias("rare"))
+    able = involved.join(lone, "node", "left").select("node", "weight", "bands", F.coalesce("lone", F.lit(0.0)).alias("lone"), F.coalesce("rare", F.lit(0.0)).alias("rare"))
     return cut(able.filter(F.col("lone") <= 1 - threshold + 1e-9), paths), cut(few.filter("a <> b").select("a", "b").distinct(), paths)
 
 
+def _possible(own: str, other: str, threshold: float) -> Column:
+    """What two texts share is at most what either (weight and ``own``, w and ``other``) has beside its own; so is their similarity."""
+    both = F.least(F.col("w") * (1 - F.col(other)), F.col("weight") * (1 - F.col(own)))
+    return both >= (threshold - 1e-9) * (F.col("w") + F.col("weight") - both)
+
+
+def _crossing(pivots: DataFrame, open_: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pivots with members of their bucket that are in other components, where 0.8 is possible.
+
+    Near copies share many bands; a pair is left to the least of its buckets.  It stays open as
+    long as the two are in different components, and one of them becomes a pivot there.
+    """
+    ends = pivots.select("key", F.col("node").alias("p"), F.col("comp").alias("p_comp"), F.col("weight").alias("w"), F.col("rare").alias("r"), F.col("bands").alias("p_bands"))
+    here = F.array_min(F.array_intersect("bands", "p_bands")) == F.col("key")
+    crossing = ends.join(open_, "key").filter((F.col("comp") != F.col("p_comp")) & _possible("rare", "r", threshold) & here)
+    return crossing.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+
+
 def _joined(comp: DataFrame, links: DataFrame, paths: list[str]) -> DataFrame:
     """``comp`` (node, comp) with the links (a, b) added; what is known is contracted first, so later rounds have few edges."""
     at = lambda side: F.coalesce(F.col(f"{side}_comp"), F.col(side))
@@ -417,9 +423,9 @@ def _joined(comp: DataFrame, links: DataFrame, paths: list[str]) -> DataFrame:
 
 
 def _few(rows: DataFrame, take: int) -> DataFrame:
-    """key, node, comp, weight and rare of the first ``take`` rows a key, those of the least weight of their own first.
+    """key, node, comp, weight, rare and bands of the first ``take`` rows a key, those of the least weight of their own first.
 
     The limit on the rank is applied within tasks before rows are shuffled.
     """
     order = W.partitionBy("key").orderBy("lone", F.xxhash64("node"), "node")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= take).select("key", "node", "comp", "weight", "rare")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= take).select("key", "node", "comp", "weight", "rare", "bands")

@@ -251,6 +251,27 @@ def test_large_groups_of_near_copies(spark):
     assert all(of[i] == min(i, 900) for i in range(len(rows)))
 
 
+def test_a_pair_is_left_to_the_least_of_its_buckets(spark):
+    """Two nodes in three buckets, pivots in all: one row.  A pivot in a later bucket only leaves the pair to the first."""
+    row = lambda key, node: (key, node, 0.0, 0.0, 1.0, [3, -5, 9, node + 100], node, 7)
+    open_ = spark.createDataFrame([row(k, n) for k in (3, -5, 9) for n in (1, 2)], "key long, node long, lone double, rare double, weight double, bands array<long>, comp long, main long")
+    listed = lambda pivots: [tuple(x) for x in near_dup._crossing(pivots, open_, 0.8).collect()]
+    assert listed(open_) == listed(open_.filter("key = -5 AND node = 2")) == [(1, 2)]
+    assert listed(open_.filter("key > 0")) == []
+
+
+def test_plans_of_near_duplicates_stay_small(spark):
+    """The driver holds every plan: 137 exchanges in them filled its memory on a table with large groups."""
+    df = spark.createDataFrame(near_rows(5), "doc_id long, text string")
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    before = store.executionsCount()
+    near_dup.classes(df)
+    bus.waitUntilEmpty(30_000)
+    plans = [store.execution(i).get().physicalPlanDescription().split("== Initial Plan ==")[0] for i in range(before, store.executionsCount())]
+    assert 0 < sum(x.count("Exchange (") for x in plans) <= 110
+
+
 def test_near_duplicate_edge_cases(spark):
     rows = [(5, "a b c d e f g"), (3, "A b, c d e f g!"), (5, "a b c d e f g"), (9, None), (8, ""), (7, ""), (None, "a b c d e f g")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
