@@ -44,6 +44,7 @@ class.  Other columns aren't read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -63,6 +64,8 @@ BUCKETS, SKETCHES, PIECE = 1 << 18, 3, 1 << 14
 MINIMA, SLOTS, UNIT = 8, 1 << 18, 1 << 20
 REPEATS, BINS, ROWS = 4, 25, 5
 HUBS, PIVOTS = 3, 8
+#: So many edges are solved by one task at once; more of them in rounds over the whole table.
+EDGES = 1 << 18
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +103,7 @@ def weights(shingle: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def _summed(own: DataFrame, length: int, add_to: Callable[[np.ndarray, np.ndarray, np.ndarray, int], None]) -> np.ndarray:
-    """``length`` sums over all texts; ``add_to`` adds those of some texts, given as row and shingle of their distinct shingles.  They reach the driver in pieces."""
+    """``length`` sums over all texts; ``add_to`` adds those of some texts, given as row and shingle of their distinct shingles.  They reach the driver in compressed pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(length, np.int64)
@@ -117,12 +120,12 @@ def _summed(own: DataFrame, length: int, add_to: Callable[[np.ndarray, np.ndarra
         sums = np.zeros(PIECE, np.int64)
         for x in table.column("sums"):
             sums += np.frombuffer(x.as_buffer(), np.int64)
-        return pa.table({"piece": table.column("piece")[:1], "sums": pa.array([sums.tobytes()], pa.binary())})
+        return pa.table({"piece": table.column("piece")[:1], "sums": pa.array([zlib.compress(sums.tobytes(), 1)], pa.binary())})
 
     got = batched(own.select("text"), run, "piece int, sums binary").groupBy("piece").applyInArrow(add, "piece int, sums binary").toArrow()
     out = np.zeros(length, np.int64)
     for k, x in zip(got.column("piece").to_pylist(), got.column("sums").to_pylist()):
-        out.reshape(-1, PIECE)[k] = np.frombuffer(x, np.int64)
+        out.reshape(-1, PIECE)[k] = np.frombuffer(zlib.decompress(x), np.int64)
     return out
 
 
@@ -143,8 +146,11 @@ def group_sizes(own: DataFrame) -> np.ndarray:
             np.add.at(total, slot, 1)
 
     counts = _summed(own, MINIMA * SLOTS, add_to)
-    others = (counts[:SLOTS].sum() - counts) / (SLOTS - 1)
-    return np.maximum(counts - others, 1).astype(np.float32)
+    total = counts[:SLOTS].sum()
+    out = np.empty(len(counts), np.float32)
+    for own_counts, sizes in zip(counts.reshape(MINIMA, SLOTS), out.reshape(MINIMA, SLOTS)):
+        sizes[:] = np.maximum(own_counts - (total - own_counts) / (SLOTS - 1), 1)
+    return out
 
 
 def document_frequencies(own: DataFrame) -> np.ndarray:
@@ -273,8 +279,35 @@ def _similarities(pairs: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFra
     return batched(two, run, "a long, b long, similarity double")
 
 
-def components(edges: DataFrame, paths: list[str]) -> DataFrame:
-    """node and comp, its component's least node, for every node of ``edges`` (a, b): least labels of neighbours, with pointer jumping."""
+def least_nodes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (a, b), and the least node of the component of each."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    label = np.arange(len(node))
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return node, node[label]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while ((up := label[label]) != label).any():
+            label = up
+
+
+def components(edges: DataFrame, paths: list[str], n: int | None = None) -> DataFrame:
+    """node and comp, its component's least node, for every node of ``edges`` (a, b), of which there are ``n``.
+
+    Up to ``EDGES`` edges one task solves, in one query; more of them, or an unknown number, take
+    least labels of neighbours, with pointer jumping, in several queries a round.
+    """
+    if n is not None and n <= EDGES:
+
+        def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ends = [np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]) for batch in batches]
+            if ends:
+                node, comp = least_nodes(*np.concatenate(ends, 1))
+                yield pa.RecordBatch.from_pydict({"node": pa.array(node), "comp": pa.array(comp)})
+
+        return cut(edges.select("a", "b").coalesce(1).mapInArrow(solve, "node long, comp long"), paths)
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), paths)
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), paths)
     while True:
@@ -415,9 +448,10 @@ def _joined(comp: DataFrame, links: DataFrame, paths: list[str]) -> DataFrame:
     at = lambda side: F.coalesce(F.col(f"{side}_comp"), F.col(side))
     edges = links.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("a_comp")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("b_comp")), "b", "left")
     edges = cut(edges.select(at("a").alias("a"), at("b").alias("b")).filter("a <> b").distinct(), paths)
-    if edges.isEmpty():
+    n = edges.count()
+    if n == 0:
         return comp
-    found = components(edges, paths)
+    found = components(edges, paths, n)
     moved = comp.join(found.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
     return cut(moved.unionByName(found.join(comp, "node", "left_anti").select("node", "comp")), paths)
 

@@ -272,6 +272,24 @@ def test_plans_of_near_duplicates_stay_small(spark):
     assert 0 < sum(x.count("Exchange (") for x in plans) <= 110
 
 
+def test_few_edges_take_one_query(spark):
+    """Beside the pipeline's other stages the driver didn't hold the plans of rounds over a few edges; more edges still take rounds."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    r = random.Random(3)
+    edges = [(i + 1, i) for i in range(50)] + [(r.randrange(1000, 2000), r.randrange(1000, 2000)) for _ in range(600)] + [(7000, x) for x in range(6000, 6020)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    found, queries = [], []
+    for n in (len(edges), near_dup.EDGES + 1):
+        bus.waitUntilEmpty(30_000)
+        before = store.executionsCount()
+        out = near_dup.components(df, [], n)
+        bus.waitUntilEmpty(30_000)
+        queries.append(store.executionsCount() - before)
+        found.append(sorted(map(tuple, out.collect())))
+    assert found[0] == found[1] and len(found[0]) == len({x for e in edges for x in e})
+    assert queries[0] == 1 < queries[1]
+
+
 def test_near_duplicate_edge_cases(spark):
     rows = [(5, "a b c d e f g"), (3, "A b, c d e f g!"), (5, "a b c d e f g"), (9, None), (8, ""), (7, ""), (None, "a b c d e f g")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
